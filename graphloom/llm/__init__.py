@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, mixing, sharding, token_counts, urls
+from graphloom.llm import bpe, exact, mixing, sharding, substrings, token_counts, urls
 
-_MODULES = (token_counts, sharding, mixing, bpe, urls)
+_MODULES = (token_counts, sharding, mixing, substrings, exact, bpe, urls)
 
 
 def queries() -> dict:

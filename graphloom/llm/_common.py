@@ -57,14 +57,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)``, with this package on the import path of the Python workers.
+def import_path(spark: SparkSession) -> None:
+    """Put this package on the import path of the Python workers.
 
     On a cluster the package is installed or sent with ``--py-files``; in local
     mode and in tests the workers get the folder it was loaded from.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = df.sparkSession.sparkContext.environment
+    env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with this package on the workers' import path."""
+    import_path(df.sparkSession)
     return df.mapInArrow(run, schema)
