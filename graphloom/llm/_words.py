@@ -81,12 +81,15 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of a run of texts: ``hashes``, and for text i the words ``first[i]`` up to ``first[i + 1]``."""
+    """The words of a run of texts: ``hashes``, and for text i the words ``first[i]`` up to ``first[i + 1]``.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 1):
+    ``between`` tells the bytes that separate words.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 1, between: np.ndarray = _SPACE):
         base = int(offsets[0])
         data, offsets = data[base : int(offsets[-1])], offsets - base
-        space = _SPACE[data]
+        space = between[data]
         edge = np.empty(len(data), bool)
         if len(data):
             edge[0] = True
