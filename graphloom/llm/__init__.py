@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, embeddings, exact, mixing, quality, sharding, substrings, token_counts, urls
+from graphloom.llm import bpe, embeddings, exact, jaccard, mixing, quality, sharding, substrings, token_counts, urls
 
-_MODULES = (token_counts, sharding, quality, embeddings, mixing, substrings, exact, bpe, urls)
+_MODULES = (token_counts, sharding, quality, embeddings, mixing, substrings, exact, jaccard, bpe, urls)
 
 
 def queries() -> dict:

@@ -57,6 +57,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` with the two parts of a row's key: rows with the same key have the same text."""
+    return df.withColumn("__a", F.coalesce(F.xxhash64(F.col(key)), F.lit(0))).withColumn("__b", F.xxhash64(text_of(text)))
+
+
 def import_path(spark: SparkSession) -> None:
     """Put this package on the import path of the Python workers.
 

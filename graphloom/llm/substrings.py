@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm._common import arrow, read, stage, text_of, without
+from graphloom.llm._common import arrow, keyed, read, stage, without
 from graphloom.llm._words import Words, blocks, mix, powers, run_hashes, utf8
 
 WINDOW = 35
@@ -80,14 +80,9 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a ^ mix(b.astype(np.uint64) + np.uint64(1))
 
 
-def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``df`` with the two parts of a row's key: rows with the same key have the same text."""
-    return df.withColumn("__a", F.coalesce(F.xxhash64(F.col(key)), F.lit(0))).withColumn("__b", F.xxhash64(text_of(text)))
-
-
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
     """For each row key ``(__a, __b)``: ``spans``, the words [begin, end) of windows that start anywhere else too."""
-    docs = _keyed(df.select(key, text), key, text)
+    docs = keyed(df.select(key, text), key, text)
     runs_schema = "__a long, __b long, anchor long, whole long, begin int, end int, times int"
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +154,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     data = without(df, *[c for c in added if c != text])
     rest = [c for c in data.columns if c != text]
     spans = repeated_spans(data, key, text, window, seed_words).select(F.col("__a").alias("__x"), F.col("__b").alias("__y"), "spans")
-    joined = _keyed(data, key, text).join(spans, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y")), "left")
+    joined = keyed(data, key, text).join(spans, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y")), "left")
     schema = T.StructType([*[data.schema[c] for c in rest], *[T.StructField(k, v) for k, v in added.items()]])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
