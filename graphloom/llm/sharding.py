@@ -67,7 +67,8 @@ def shard_records(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", text
     )
     within = W.partitionBy("__bucket").orderBy("__mix", F.col(key))
     ranked = placed.withColumn("__rank", F.row_number().over(within))
-    joined = ranked.join(drawn, ranked["__bucket"] == drawn["__b"])
+    # The permutations grow with the rows: they are never broadcast.
+    joined = ranked.join(drawn.hint("merge"), ranked["__bucket"] == drawn["__b"])
     slot = (F.col("__before") + F.element_at("__order", F.col("__rank"))).cast("long")
     return joined.select(
         *[data[f"`{c}`"] for c in data.columns],
