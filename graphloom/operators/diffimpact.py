@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.traverse import distances, oriented
+from graphloom.runtime import stage
 from graphloom.schema import CALLS, FILE, REFERENCES
 
 
@@ -22,14 +23,11 @@ def affected_symbols(nodes: DataFrame, hunks: DataFrame) -> DataFrame:
 
 def change_impact(nodes: DataFrame, edges: DataFrame, hunks: DataFrame, max_depth: int = 3) -> DataFrame:
     """``(id, role)``: the affected symbols, and what calls or refers to them within ``max_depth``. One traversal serves all symbols, since only the set counts."""
-    affected = affected_symbols(nodes, hunks).select("id").distinct()
-    steps = oriented(edges, (CALLS, REFERENCES), reverse=True)
-    # one walk from all symbols together
-    together = affected.select(F.lit(-1).cast("long").alias("source"), F.col("id"))
-    pairs = steps.select("from_id", "to_id").distinct()
-    level, reached = together, None
+    affected = stage(affected_symbols(nodes, hunks).select("id").distinct(), "affected")
+    pairs = stage(oriented(edges, (CALLS, REFERENCES), reverse=True).select("from_id", "to_id").distinct(), "pairs")
+    level, reached = affected, None
     for _ in range(max_depth):
-        level = level.join(pairs, F.col("id") == F.col("from_id")).select("source", F.col("to_id").alias("id")).distinct()
+        level = level.join(pairs, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id")).distinct()
         reached = level if reached is None else reached.unionByName(level)
     found = affected.select("id", F.lit("affected").alias("role"))
     if reached is None:

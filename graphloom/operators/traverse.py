@@ -34,6 +34,7 @@ def walk(steps: DataFrame, sources: DataFrame, max_depth: int | None = None, sto
     parent and kind. The start is never a row. ``stop_at`` ends a source's walk
     in the level after which it holds for a row.
     """
+    steps = stage(steps, "steps")  # read once for each level, so not computed anew from what it is made of
     frontier = sources.select("source").distinct().select("source", F.col("source").alias("id"), F.array().cast("array<bigint>").alias("ord"), F.array("source").alias("path"))
     frontier = stage(frontier, "frontier")
     visited, levels, depth = frontier.select("source", "id"), [], 0
@@ -67,11 +68,11 @@ def walk(steps: DataFrame, sources: DataFrame, max_depth: int | None = None, sto
 
 
 def distances(steps: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame:
-    """``(source, node_id, depth)`` of the nodes within ``max_depth`` steps, the start left out, as one plan without a loop of jobs.
+    """``(source, node_id, depth)`` of the nodes within ``max_depth`` steps, the start left out: one plan over a table of the steps, without a loop of jobs.
 
     Each level holds a node once for each source, so it is no longer than sources times nodes.
     """
-    pairs = steps.select("from_id", "to_id").distinct()
+    pairs = stage(steps.select("from_id", "to_id").distinct(), "pairs")
     level = sources.select("source").distinct().select("source", F.col("source").alias("id"))
     found = None
     for depth in range(1, max_depth + 1):

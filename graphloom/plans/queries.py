@@ -14,7 +14,8 @@ from graphloom.schema import CALLS, edge_kind_name, node_kind_name
 from graphloom.sources import diff, tables
 from graphloom.sources.tables import EVENT_HUNKS, FILE_VERSIONS, PART_EDGES, PART_NODES, USER_EDGES, event_hunks, file_versions, part_edges, part_nodes, user_edges
 
-START = 7
+#: Nodes with callers, and with callees, at every size of the tables.
+START, START_OUT = 7, 180
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -58,9 +59,9 @@ def nodes_by_file(spark, d):
     return lookup.nodes_by_file(part_nodes(spark, d), "./SMALL/Brand#4.cpp").select("id", "name", "line", "end_line")
 
 
-@query(f"WITH {E} SELECT source_id, target_id FROM e WHERE source_id = {START} AND kind = 1")
+@query(f"WITH {E} SELECT source_id, target_id FROM e WHERE source_id = {START_OUT} AND kind = 1")
 def edges_from(spark, d):
-    return lookup.edges_from(part_edges(spark, d), START, CALLS).select("source_id", "target_id")
+    return lookup.edges_from(part_edges(spark, d), START_OUT, CALLS).select("source_id", "target_id")
 
 
 @query(f"WITH {E} SELECT source_id, target_id FROM e WHERE target_id = {START} AND kind = 1")
@@ -68,9 +69,9 @@ def edges_to(spark, d):
     return lookup.edges_to(part_edges(spark, d), START, CALLS).select("source_id", "target_id")
 
 
-@query(f"WITH {E} SELECT id, source_id, target_id, kind FROM e WHERE source_id = {START}")
+@query(f"WITH {E} SELECT id, source_id, target_id, kind FROM e WHERE source_id = {START_OUT}")
 def edges_all_from(spark, d):
-    return lookup.edges_from(part_edges(spark, d), START).select("id", "source_id", "target_id", "kind")
+    return lookup.edges_from(part_edges(spark, d), START_OUT).select("id", "source_id", "target_id", "kind")
 
 
 @query(f"WITH {G} SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT count(DISTINCT file_path) FROM n) AS n_files")
@@ -204,14 +205,14 @@ def graph_metrics(spark, d):
 # -- traversals -------------------------------------------------------------------------------------------
 
 
-def _reached(kinds: str, a: str, b: str, depth: int) -> str:
-    start = f"SELECT {START}::BIGINT AS source, {START}::BIGINT AS id, 0 AS depth"
-    return f"WITH RECURSIVE {G}, {reach(kinds, a, b, depth, start)}, k AS (SELECT id, min(depth) AS depth FROM r WHERE id <> {START} GROUP BY id) SELECT n.id, n.name, n.file_path, n.line, k.depth FROM k JOIN n USING (id)"
+def _reached(kinds: str, a: str, b: str, depth: int, first: int = START) -> str:
+    start = f"SELECT {first}::BIGINT AS source, {first}::BIGINT AS id, 0 AS depth"
+    return f"WITH RECURSIVE {G}, {reach(kinds, a, b, depth, start)}, k AS (SELECT id, min(depth) AS depth FROM r WHERE id <> {first} GROUP BY id) SELECT n.id, n.name, n.file_path, n.line, k.depth FROM k JOIN n USING (id)"
 
 
-def _told(spark, d, steps: DataFrame, depth: int) -> DataFrame:
+def _told(spark, d, steps: DataFrame, depth: int, first: int = START) -> DataFrame:
     n = part_nodes(spark, d)
-    rows = traverse.distances(steps, traverse.from_ids(n, START), depth)
+    rows = traverse.distances(steps, traverse.from_ids(n, first), depth)
     return n.join(rows, F.col("id") == F.col("node_id")).select("id", "name", "file_path", "line", "depth")
 
 
@@ -220,9 +221,9 @@ def callers_d3(spark, d):
     return _told(spark, d, traverse.oriented(part_edges(spark, d), reverse=True), 3)
 
 
-@query(_reached("1", "source_id", "target_id", 3))
+@query(_reached("1", "source_id", "target_id", 3, START_OUT))
 def callees_d3(spark, d):
-    return _told(spark, d, traverse.oriented(part_edges(spark, d)), 3)
+    return _told(spark, d, traverse.oriented(part_edges(spark, d)), 3, START_OUT)
 
 
 @query(_reached("1, 6", "target_id", "source_id", 5))
@@ -237,7 +238,7 @@ def callers_tree(spark, d):
 
 @query()
 def callees_tree(spark, d):
-    return traverse.callees(part_edges(spark, d), traverse.from_ids(part_edges(spark, d), START)).select("node_id", "parent_id", "edge_id", "depth")
+    return traverse.callees(part_edges(spark, d), traverse.from_ids(part_edges(spark, d), START_OUT)).select("node_id", "parent_id", "edge_id", "depth")
 
 
 @query()
@@ -245,26 +246,26 @@ def impact_tree(spark, d):
     return traverse.impact(part_edges(spark, d), traverse.from_ids(part_edges(spark, d), START)).select("node_id", "parent_id", "edge_id", "turn", "depth")
 
 
-def _hops(kinds: str, a: str, b: str) -> str:
-    start = f"SELECT {START}::BIGINT AS source, {START}::BIGINT AS id, 0 AS depth"
-    return f"WITH RECURSIVE {E}, {reach(kinds, a, b, 10, start)}, k AS (SELECT id, min(depth) AS depth FROM r WHERE id <> {START} GROUP BY id), far AS (SELECT id, depth FROM k ORDER BY depth DESC, id LIMIT 1) SELECT id AS end_id, depth AS hops, depth + 1 AS n_nodes FROM far"
+def _hops(kinds: str, a: str, b: str, first: int) -> str:
+    start = f"SELECT {first}::BIGINT AS source, {first}::BIGINT AS id, 0 AS depth"
+    return f"WITH RECURSIVE {E}, {reach(kinds, a, b, 10, start)}, k AS (SELECT id, min(depth) AS depth FROM r WHERE id <> {first} GROUP BY id), far AS (SELECT id, depth FROM k ORDER BY depth DESC, id LIMIT 1) SELECT id AS end_id, depth AS hops, depth + 1 AS n_nodes FROM far"
 
 
-def _path(spark, d, reverse: bool) -> DataFrame:
+def _path(spark, d, reverse: bool, first: int) -> DataFrame:
     e = part_edges(spark, d)
-    far = traverse.distances(traverse.oriented(e, reverse=reverse), traverse.from_ids(e, START), 10).orderBy(F.desc("depth"), "node_id").first()
-    path = traverse.find_path(e, START, far["node_id"], reverse=reverse) if far else []
+    far = traverse.distances(traverse.oriented(e, reverse=reverse), traverse.from_ids(e, first), 10).orderBy(F.desc("depth"), "node_id").first()
+    path = traverse.find_path(e, first, far["node_id"], reverse=reverse) if far else []
     return spark.createDataFrame([(path[-1], len(path) - 1, len(path))] if path else [], "end_id long, hops int, n_nodes int")
 
 
-@query(_hops("1", "source_id", "target_id"))
+@query(_hops("1", "source_id", "target_id", START_OUT))
 def shortest_path(spark, d):
-    return _path(spark, d, False)
+    return _path(spark, d, False, START_OUT)
 
 
-@query(_hops("1", "target_id", "source_id"))
+@query(_hops("1", "target_id", "source_id", START))
 def reverse_path(spark, d):
-    return _path(spark, d, True)
+    return _path(spark, d, True, START)
 
 
 @query(f"WITH RECURSIVE {E}, {reach('1, 6', 'target_id', 'source_id', 5, f'SELECT {START}::BIGINT AS source, {START}::BIGINT AS id, 0 AS depth')} SELECT id AS node_id, min(depth) AS depth, min(depth) + 1 AS path_length FROM r WHERE id <> {START} GROUP BY id")
@@ -396,13 +397,10 @@ k_{role} AS (SELECT id, min(depth) AS depth FROM r_{role} WHERE id NOT IN (SELEC
     return f"WITH RECURSIVE {G}, st AS ({start}), {sides[0]}, {sides[1]} SELECT n.id, n.name, k.depth, 'caller' AS role FROM k_caller k JOIN n USING (id) UNION ALL SELECT n.id, n.name, k.depth, 'callee' FROM k_callee k JOIN n USING (id){more}"
 
 
-@query(_around(f"SELECT {START}::BIGINT AS id", 10))
+@query(_around(f"SELECT {START_OUT}::BIGINT AS id", 10))
 def context_function(spark, d):
     n, e = part_nodes(spark, d), part_edges(spark, d)
-    return context.around(n, e, traverse.from_ids(e, START), 10)
-
-
-_CLASS = "SELECT m.id, m.name FROM n c JOIN n m ON m.file_path = c.file_path AND contains(m.qualified_name, c.cname || '::') WHERE m.kind IN (1, 2)"
+    return context.around(n, e, traverse.from_ids(e, START_OUT), 10)
 
 
 @query(_around("SELECT id FROM n WHERE kind IN (1, 2) AND file_path = './SMALL/Brand#4.cpp' AND contains(qualified_name, 'Brand#4::')", 10, " UNION ALL SELECT id, name, 0, 'method' FROM n WHERE kind IN (1, 2) AND file_path = './SMALL/Brand#4.cpp' AND contains(qualified_name, 'Brand#4::')"))
@@ -508,5 +506,3 @@ def extract_sources(spark, d):
     files = spark.createDataFrame(rows, "path string, language string, mtime long, size long, content binary")
     return extract_files(files).select("path", F.posexplode("nodes").alias("pos", "n")).select("path", "pos", node_kind_name(F.col("n.kind")).alias("kind"), "n.name", "n.qualified_name", "n.line")
 
-
-del _CLASS
