@@ -3,39 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.runtime import shared_dir, stage
+
+__all__ = ["SPACE_CLASS", "WORD_REGEX", "arrow", "cut", "import_path", "keyed", "read", "shared_dir", "stage", "text_of", "without"]
+
 #: The six ASCII white-space characters that separate words in every operator here.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage at a table that every executor can read, so a lost
-    executor costs only its running tasks.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table, in the shared folder."""
     shared_dir(df.sparkSession)
