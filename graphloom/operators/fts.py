@@ -22,6 +22,15 @@ def postings(rows: DataFrame, fields: tuple[str, ...] = FIELDS, id_: str = "id")
     return flat.select("id", F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("pos", "token"))
 
 
+def refresh_postings(index: DataFrame, changed: DataFrame, fields: tuple[str, ...] = FIELDS, id_: str = "id") -> DataFrame:
+    """The index after rows were inserted, updated or deleted: only the tokens of ``changed`` are made anew.
+
+    ``changed`` holds the new form of inserted and updated rows; a deleted row comes with nulls in all fields.
+    """
+    gone = changed.select(F.col(id_).alias("__g")).distinct()
+    return index.join(gone, F.col("id") == F.col("__g"), "left_anti").unionByName(postings(changed, fields, id_))
+
+
 def parse_query(query: str) -> list[list[str]]:
     """Phrases of a query. Words and spaces alone are terms that must all occur; anything else is one phrase. There are no operators."""
     words = lambda t: re.findall(r"[^\W_]+", t.lower())

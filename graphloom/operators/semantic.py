@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import cosine
 from graphloom.schema import node_kind_name
@@ -45,6 +47,17 @@ def embed(nodes: DataFrame, encoder: Callable[[Sequence[str]], list[list[float]]
     return nodes.select(F.col("id").alias("node_id"), embed_text().alias("text")).mapInPandas(run, "node_id long, embedding array<float>")
 
 
+@F.pandas_udf(T.BinaryType())
+def to_blob(vectors: pd.Series) -> pd.Series:
+    """Little-endian 32-bit floats of each vector in one binary."""
+    return vectors.map(lambda v: None if v is None else struct.pack(f"<{len(v)}f", *v))
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def from_blob(blobs: pd.Series) -> pd.Series:
+    return blobs.map(lambda b: None if b is None else list(struct.unpack(f"<{len(b) // 4}f", b)))
+
+
 def nearest(embeddings: DataFrame, query: Sequence[float] | Column | DataFrame, top: int = 10, id_: str = "node_id", vector: str = "embedding") -> DataFrame:
     """``(id, similarity)`` of the nearest vectors by cosine, rounded to 4 digits; ties by id. ``query``: a vector, or a table of one row ``q``."""
     if isinstance(query, DataFrame):

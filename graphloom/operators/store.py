@@ -121,6 +121,12 @@ def insert_edges(graph: Graph, rows: DataFrame) -> Graph:
     return Graph(graph.nodes, graph.edges.unionByName(with_ids(full, graph.edges, "source_id", "target_id", "kind")), graph.files, graph.refs)
 
 
+def insert_refs(graph: Graph, rows: DataFrame) -> Graph:
+    """Appends call references of ``rows(source_node_id, ref_name, line, col)``."""
+    full = rows.select("source_node_id", "ref_name", F.lit("call").alias("ref_kind"), "line", "col")
+    return Graph(graph.nodes, graph.edges, graph.files, graph.refs.unionByName(with_ids(full, graph.refs, "source_node_id", "line", "col", "ref_name")))
+
+
 def upsert_files(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Files by path: of a path that is in both, the new row; of repeated new rows, the one with the latest time."""
     order = [F.col("mtime").desc(), F.col("size").desc()]

@@ -50,6 +50,17 @@ def test_semantic(spark, nodes):
     assert cosine is not None
 
 
+def test_blobs_and_refreshed_postings(spark, nodes):
+    rows = spark.createDataFrame([(1, [1.0, -0.5]), (2, []), (3, None)], "i int, v array<float>")
+    blob = rows.select("i", semantic.to_blob("v").alias("b"))
+    assert [r.b and len(r.b) for r in blob.orderBy("i").collect()] == [8, b"", None]
+    assert [r.v for r in blob.select("i", semantic.from_blob("b").alias("v")).orderBy("i").collect()] == [[1.0, -0.5], [], None]
+    changed = spark.createDataFrame([(1, 1, "renamed", None, None, None, None), (2, 1, None, None, None, None, None), (7, 1, "new", "new", "", "", "")], SCHEMA)
+    got = fts.refresh_postings(fts.postings(nodes), changed)
+    assert {r.token for r in got.where("id = 1").collect()} == {"renamed"} and got.where("id = 2").count() == 0 and got.where("id = 7").count() == 2
+    assert got.where("id = 5").count() == fts.postings(nodes).where("id = 5").count()
+
+
 DIFF = """diff --git a/x.cpp b/x.cpp
 --- a/x.cpp
 +++ b/x.cpp
