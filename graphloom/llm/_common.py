@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.runtime import shared_dir, stage
 
-__all__ = ["SPACE_CLASS", "WORD_REGEX", "arrow", "cut", "import_path", "keyed", "read", "shared_dir", "stage", "text_of", "without"]
+__all__ = ["SPACE_CLASS", "WORD_REGEX", "arrow", "cut", "import_path", "keyed", "read", "shared_dir", "stage", "text_of", "whole_groups", "without"]
 
 #: The six ASCII white-space characters that separate words in every operator here.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -58,3 +61,21 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with this package on the workers' import path."""
     import_path(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], carried: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of whole groups (first column), from batches in order of the group."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        group = np.asarray(batch.column(0))
+        cut = int(np.searchsorted(group, group[-1])) if group[0] != group[-1] else 0
+        if cut == 0 and carried and carried[-1].column(0)[0].as_py() != int(group[-1]):
+            yield pa.Table.from_batches(carried)
+            carried.clear()
+        if cut:
+            yield pa.Table.from_batches([*carried, batch.slice(0, cut)])
+            carried.clear()
+        carried.append(batch.slice(cut))
+    if carried:
+        yield pa.Table.from_batches(carried)

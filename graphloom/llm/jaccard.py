@@ -9,17 +9,21 @@ their whole sets.
 
 A large family of near copies is not paired out. First each group is verified
 against the earliest group of each list that it is in, and each member against
-its group; the links found give components. Then only those lists are paired
-that still hold more than one component, and only members of different
-components. So no link between components is lost, and links inside one, which
-change nothing, are not all enumerated.
+its group; the links found give components. Then only those lists are compared
+that still hold more than one component: a first pass over the sketches keeps
+the groups that may link across components, a second one compares whole sets.
+Both count shared elements of many rows at once, in chunks, and return rows and
+spanning forests, never pairs. So no link between components is lost, and links
+inside one, which change nothing, are not enumerated.
 
 Prefixes: to reach a Jaccard of 3/4 two sets of sizes up to n must share one of
 their n - ceil(3 n / 4) + 1 least elements. Of long sets the first ``PREFIX`` are
 used: in random order, each further element of the union misses the
 intersection with a chance of at most 1/4, so a pair is missed with a chance
 below 4 ** -24 (3.6e-15). The filter on shared elements errs with a chance below
-1e-13.
+1e-13. A long set with at most ``FEW`` of its prefix in lists of more than ``HEAVY``
+groups (a very common line) leaves those lists: a pair is missed then only if 21
+of the 24 least elements of its union are not shared, a chance below 1e-9.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import arrow, keyed, read, stage, text_of, without
+from graphloom.llm._common import arrow, keyed, read, stage, text_of, whole_groups, without
 from graphloom.llm._components import components
 from graphloom.llm._words import Words, blocks, mix, powers, run_hashes, utf8
 
@@ -41,6 +45,11 @@ WORDS = 5
 SIMILARITY = (3, 4)
 PREFIX = 24
 SKETCH = 64
+#: Groups of one list that meet in one go; elements counted in one product.
+CHUNK = 512
+COLUMNS = 4096
+#: Groups in a list that make its element a common one, and how many of those a group does without.
+HEAVY, FEW = 1024, 3
 #: Candidate documents whose numbers may be broadcast to the scan of the texts; with more they are joined by a shuffle.
 BROADCAST_DOCS = 200_000
 
@@ -106,14 +115,131 @@ def _passes(na: Column, nb: Column, a: Column, b: Column, similarity: tuple[int,
     return sizes & F.when(F.greatest(na, nb) <= SKETCH, shared * q >= (na + nb - shared) * p).otherwise(shared >= least_shared(SKETCH, similarity))
 
 
+def shared_counts(sets: list[np.ndarray], below: int | None = None) -> np.ndarray:
+    """How many elements each two of the sets share; only those less than ``below``, if given.
+
+    Elements of one set alone are left out; the others are columns of matrices of
+    bounded width whose products are summed.
+    """
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    if below is not None:
+        row, values = row[values < np.uint64(below)], values[values < np.uint64(below)]
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    often = np.cumsum(times > 1) - 1
+    use = times[column] > 1
+    row, column, wide = row[use], often[column[use]], int((times > 1).sum())
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, wide, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, wide - at)), np.float32)
+        has[row[i:j], column[i:j] - at] = 1
+        out += has @ has.T
+    return np.rint(out).astype(np.int64)
+
+
+def passing(size: np.ndarray, sketch: list[np.ndarray], similarity: tuple[int, int], least: int) -> np.ndarray:
+    """Square matrix of the rows whose sizes and sketches leave the similarity possible, as :func:`_passes` does."""
+    p, q = similarity
+    shared = shared_counts(sketch)
+    low, high = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
+    whole = shared * q >= (low + high - shared) * p
+    return (low * q >= high * p) & np.where(high <= SKETCH, whole, shared >= least)
+
+
+def dealt_lists(rows: DataFrame, columns: list[str], chunk: int) -> DataFrame:
+    """Rows of lists ``h`` by ``group``: a list, or of a list above ``chunk`` a pair of its chunks. No task then holds more than two chunks of a list at a time."""
+    sizes = stage(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("__h"), F.ceil(F.col("c") / chunk).cast("int").alias("chunks")), "list-sizes")
+    dealt = rows.join(sizes, F.col("h") == F.col("__h")).withColumn("side", F.pmod(F.xxhash64(columns[0]), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("group", F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other")))
+    return dealt.select("group", "h", *columns).repartition("group").sortWithinPartitions("group")
+
+
+def meet(lists: DataFrame, similarity: tuple[int, int], chunk: int = CHUNK) -> DataFrame:
+    """Rows ``(h, gid)`` of ``lists(h, gid, low, high, size, sk)`` that may link to another component in their list.
+
+    A pair counts in the list of the least element that it shares.
+    """
+    least = least_shared(SKETCH, similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, []):
+            group, h, gid, low, high, size = (np.asarray(table.column(k)) for k in range(6))
+            lists_ = table.column(6).combine_chunks()
+            at, flat = np.asarray(lists_.offsets), np.asarray(lists_.values).view(np.uint64)
+            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            hs, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                one = low[a:b] == high[a:b]
+                if b - a < 2 or (one.all() and (low[a:b] == low[a]).all()):
+                    continue
+                sketch = [flat[at[k] : at[k + 1]] for k in range(a, b)]
+                ok = passing(size[a:b], sketch, similarity, least)
+                ok &= ~((low[a:b, None] == low[a:b]) & one[:, None] & one)
+                np.fill_diagonal(ok, False)
+                if ok.any():
+                    ok &= shared_counts(sketch, int(h[a : a + 1].view(np.uint64)[0])) == 0
+                stays = a + np.flatnonzero(ok.any(1))
+                hs.append(h[stays])
+                ids.append(gid[stays])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids))], names=["h", "gid"])
+
+    return arrow(dealt_lists(lists, ["gid", "low", "high", "size", "sk"], chunk), run, "h long, gid long").distinct()
+
+
+def texts_of(wanted: DataFrame, single: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(uid, text)`` of the set numbers ``wanted(u)``. A repeated row comes more than once."""
+    wanted = stage(single.select("uid", F.col("a").alias("__x"), F.col("b").alias("__y")).join(wanted, F.col("uid") == F.col("u")).select("uid", "__x", "__y"), "pair-documents")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
+    return docs.join(side, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y"))).select("uid", "text")
+
+
+def link_lists(rows: DataFrame, single: DataFrame, docs: DataFrame, length: int, similarity: tuple[int, int], chunk: int = CHUNK) -> DataFrame:
+    """Links ``(a, b)`` that connect what is similar in each list of ``rows(h, uid, c)``: whole sets, spanning forests."""
+    p, q = similarity
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in blocks(offsets):
+                found = list(shingle_sets(data, offsets[i : j + 1], length))
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], names=["k", "els"])
+
+    wanted = rows.select(F.col("uid").alias("u")).distinct()
+    whole = stage(arrow(texts_of(wanted, single, docs), sets, "k long, els array<long>").dropDuplicates(["k"]), "whole-sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, []):
+            group, _, uid, c = (np.asarray(table.column(k)) for k in range(4))
+            lists_ = table.column(4).combine_chunks()
+            at, flat = np.asarray(lists_.offsets), np.asarray(lists_.values).view(np.uint64)
+            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if b - a < 2 or (c[a:b] == c[a]).all():
+                    continue
+                size = at[a + 1 : b + 1] - at[a:b]
+                shared = shared_counts([flat[at[k] : at[k + 1]] for k in range(a, b)])
+                i, j = np.nonzero((shared * q >= (size[:, None] + size - shared) * p) & (shared > 0) & (c[a:b, None] < c[a:b]))
+                # one link for each two components that meet
+                _, first = np.unique(np.stack([c[a + i], c[a + j]]), axis=1, return_index=True)
+                left.append(uid[a + i[first]])
+                right.append(uid[a + j[first]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    full = rows.join(whole, F.col("uid") == F.col("k")).select("h", "uid", "c", "els")
+    return stage(arrow(dealt_lists(full, ["uid", "c", "els"], chunk), compare, "a long, b long"), "late-links")
+
+
 def verify(pairs: DataFrame, single: DataFrame, docs: DataFrame, length: int, similarity: tuple[int, int]) -> DataFrame:
     """The ``pairs(x, y)`` of set numbers whose whole sets are similar, with ``linked``."""
     p, q = similarity
     ends = pairs.select(F.col("x").alias("u")).unionByName(pairs.select(F.col("y").alias("u"))).distinct()
-    wanted = stage(single.select("uid", F.col("a").alias("__x"), F.col("b").alias("__y")).join(ends, F.col("uid") == F.col("u")).select("uid", "__x", "__y"), "pair-documents")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
-    texts = docs.join(side, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y"))).select("uid", "text")
-    texts = stage(texts, "pair-texts")  # a repeated row comes more than once; the pair is then judged more than once, alike
+    texts = stage(texts_of(ends, single, docs), "pair-texts")  # a repeated row: the pair is judged more than once, alike
     left, right = (texts.select(F.col("uid").alias(f"{c}_"), F.col("text").alias(f"text_{c}")) for c in "xy")
     joined = pairs.join(left, F.col("x") == F.col("x_")).join(right, F.col("y") == F.col("y_")).select("x", "y", "text_x", "text_y")
 
@@ -130,7 +256,7 @@ def verify(pairs: DataFrame, single: DataFrame, docs: DataFrame, length: int, si
     return stage(arrow(joined, compare, "x long, y long, linked boolean").distinct(), "pairs-verified")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = WORDS, similarity: tuple[int, int] = SIMILARITY, carry: bool = True, prefix: int = PREFIX) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = WORDS, similarity: tuple[int, int] = SIMILARITY, carry: bool = True, prefix: int = PREFIX, heavy: int = HEAVY, chunk: int = CHUNK) -> DataFrame:
     """All rows with ``n_shingles``, ``component_id`` and ``kept``; ``carry=False`` leaves only the key.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Documents link when
@@ -159,8 +285,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     p, q = similarity
     need = (F.col("n") - F.ceil(F.col("n") * p / q) + 1).cast("int")
     posts = groups.select("gid", "n", "w", F.explode(F.slice("sketch", 1, F.least(need, F.lit(prefix)))).alias("h"))
-    lists = stage(posts.groupBy("h").agg(F.count("*").alias("c"), F.min("w").alias("first")).where("c > 1").select(F.col("h").alias("__h"), F.col("first.uid").alias("star")), "lists")
-    met = stage(posts.join(lists, F.col("h") == F.col("__h")).select("h", "gid", "n", "star"), "met")
+    lists = stage(posts.groupBy("h").agg(F.count("*").alias("c"), F.min("w").alias("first")).where("c > 1").select(F.col("h").alias("__h"), "c", F.col("first.uid").alias("star")), "lists")
+    met = stage(posts.join(lists, F.col("h") == F.col("__h")).select("h", "gid", "n", "c", "star"), "met")
+    common = (F.col("c") > heavy) & (need >= prefix)  # short sets need their exact prefix
+    lean = met.where(common).groupBy(F.col("gid").alias("__g")).agg(F.count("*").alias("few")).where(F.col("few") <= FEW).select("__g")
+    met = met.join(lean, (F.col("gid") == F.col("__g")) & common, "left_anti")
     sketches = groups.select(F.col("gid").alias("k"), F.col("n").alias("size"), F.col("sketch").alias("sk"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
@@ -179,18 +308,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     wide = met.select("h", "gid").join(spread, F.col("gid") == F.col("__gid")).select("h", "gid", "low", "high")
     mixed = wide.groupBy("h").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select(F.col("h").alias("__h"))
     open_ = stage(wide.join(mixed, F.col("h") == F.col("__h")).join(sketches, F.col("gid") == F.col("k")).select("h", "gid", "low", "high", "size", "sk"), "open-lists")
-    l, r = open_.alias("l"), open_.alias("r")
-    one = (F.col("l.low") == F.col("r.low")) & (F.col("l.high") == F.col("r.high")) & (F.col("l.low") == F.col("l.high"))
-    meet = (F.col("l.h") == F.col("r.h")) & (F.col("l.gid") < F.col("r.gid")) & ~one & _passes(F.col("l.size"), F.col("r.size"), F.col("l.sk"), F.col("r.sk"), similarity)
-    across = l.join(r, meet).select(F.col("l.gid").alias("gx"), F.col("r.gid").alias("gy")).distinct()
-    within = spread.where("low <> high").select(F.col("__gid").alias("gx"), F.col("__gid").alias("gy"))
-    x, y = (placed.select(F.col("uid").alias(c), F.col("gid").alias(f"g_{c}"), F.col("c").alias(f"c_{c}")) for c in "xy")
-    more = across.unionByName(within).join(x, F.col("gx") == F.col("g_x")).join(y, (F.col("gy") == F.col("g_y")) & (F.col("c_x") != F.col("c_y")) & ((F.col("gx") != F.col("gy")) | (F.col("x") < F.col("y"))))
-    tried = done.select("x", "y").unionByName(done.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    more = stage(more.select("x", "y").join(tried, ["x", "y"], "left_anti"), "pairs-left")
-    if more.limit(1).count():
-        late = verify(more, single, docs, length, similarity).where("linked")
-        found = components(links.unionByName(late.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    near = meet(open_, similarity, chunk)
+    near = near.unionByName(spread.where("low <> high").select(F.col("__gid").alias("h"), F.col("__gid").alias("gid")))
+    near = stage(near, "lists-left")
+    if near.limit(1).count():
+        at = near.select("h", F.col("gid").alias("__g"))
+        late = link_lists(placed.join(at, F.col("gid") == F.col("__g")).select("h", "uid", "c"), single, docs, length, similarity, chunk)
+        found = components(links.unionByName(late))
     named = stage(single.select("uid", "s1", "s2", "n", "none", "least").join(found, F.col("uid") == F.col("id"), "left").withColumn("c", F.coalesce("component", "uid")).drop("id", "component"), "named")
     heads = named.groupBy("c").agg(F.min(F.struct("none", "least", "uid")).alias("head"))
     told = named.join(heads.withColumnRenamed("c", "__c"), F.col("c") == F.col("__c")).select("__c", F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), F.col("n").alias("__n"), F.col("head.least").alias("component_id"), (F.col("head.uid") == F.col("uid")).alias("__head"), F.col("none").alias("__none"), F.col("least").alias("__least"))

@@ -31,10 +31,10 @@ def brute(rows):
     return sorted((str(k), len(sets[i]), least.get(find(i))) for i, (k, _) in enumerate(rows)), len({find(i) for i in range(len(rows))})
 
 
-def check(spark, rows):
+def check(spark, rows, **more):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, kept string")
     want, classes = brute(rows)
-    got = jaccard.near_duplicates(df).collect()
+    got = jaccard.near_duplicates(df, **more).collect()
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == want
     assert sum(r.kept for r in got) == classes
     assert all(r.doc_id == r.component_id for r in got if r.kept)
@@ -65,13 +65,13 @@ def test_families(spark):
             at = int(size * i / 10)
             chain[at] = f"c{k}"
             k += 1
-    check(spark, rows)
+    check(spark, rows, heavy=10, chunk=16)
 
 
 def test_odd_rows(spark):
     a = "one two three four five six seven"
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one\tTWO "), (6, "two one"), (7, a), (8, a.upper()), (8, a.upper()), (9, a + " eight"), (None, a), (None, "lone text of a null key"), (None, "lone text of a null key"), (10, "x " * 100_000), (11, "x x x x x x"), (12, "É one"), (13, "é one"), (14, "one two three four five"), (15, "one two three four")]
-    check(spark, rows)
+    check(spark, rows, heavy=10, chunk=16)
 
 
 def test_empty(spark):
@@ -87,3 +87,19 @@ def test_documents(spark, small):
 
 def test_least_shared():
     assert 15 < jaccard.least_shared(64) < 40
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, 25).astype(np.uint64)) for _ in range(12)]
+    for below in (None, 30):
+        want = [[len({x for x in a.tolist() if below is None or x < below} & set(b.tolist())) for b in sets] for a in sets]
+        got = jaccard.shared_counts(sets, below)
+        assert all(got[i][j] == want[i][j] for i in range(12) for j in range(12) if i != j)
+
+
+def test_families_at_production_settings(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 30, 150)]
+    rows = [(i, edited(rng, base, int(rng.integers(0, 9)))) for i in range(150)]
+    check(spark, rows)
