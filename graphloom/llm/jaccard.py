@@ -46,7 +46,7 @@ SIMILARITY = (3, 4)
 PREFIX = 24
 SKETCH = 64
 #: Groups of one list that meet in one go; elements counted in one product.
-CHUNK = 512
+CHUNK = 1024
 COLUMNS = 4096
 #: Groups in a list that make its element a common one, and how many of those a group does without.
 HEAVY, FEW = 1024, 3
@@ -137,13 +137,13 @@ def shared_counts(sets: list[np.ndarray], below: int | None = None) -> np.ndarra
         has = np.zeros((len(sets), min(COLUMNS, wide - at)), np.float32)
         has[row[i:j], column[i:j] - at] = 1
         out += has @ has.T
-    return np.rint(out).astype(np.int64)
+    return np.rint(out).astype(np.int32)
 
 
 def passing(size: np.ndarray, sketch: list[np.ndarray], similarity: tuple[int, int], least: int) -> np.ndarray:
     """Square matrix of the rows whose sizes and sketches leave the similarity possible, as :func:`_passes` does."""
     p, q = similarity
-    shared = shared_counts(sketch)
+    shared, size = shared_counts(sketch), size.astype(np.int32)
     low, high = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
     whole = shared * q >= (low + high - shared) * p
     return (low * q >= high * p) & np.where(high <= SKETCH, whole, shared >= least)
