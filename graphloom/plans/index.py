@@ -31,12 +31,13 @@ def index_tree(spark: SparkSession, root: str, store: Store, incremental: bool =
     wanted = listing.join(changed.select(F.col("path").alias("__p")), F.col("path") == F.col("__p"), "left_semi")
     spread = max(1, min(n_changed, 4 * spark.sparkContext.defaultParallelism))
     found = stage(extract_files(wanted.repartition(spread).select("path", "language", "mtime", "size", "content")), "extracted")
-    graph = _rebuilt(old, changed.select("path").unionByName(deleted.select("path")), found)
+    graph = rebuilt(old, changed.select("path").unionByName(deleted.select("path")), found)
     version = store.save(graph)
     return {"changed": n_changed, "deleted": n_deleted, "version": version}
 
 
-def _rebuilt(old: Graph, gone: DataFrame, found: DataFrame) -> Graph:
+def rebuilt(old: Graph, gone: DataFrame, found: DataFrame) -> Graph:
+    """The graph without the files ``gone``, with the extracted files ``found``, and all references resolved anew."""
     kept = drop_files(old, gone)
     symbols = found.select("path", "language", F.posexplode("nodes").alias("pos", "n")).select("path", "language", "pos", "n.*")
     file_nodes = found.select("path", "language", F.lit(-1).alias("pos"), F.lit(schema.FILE).alias("kind"), F.substring_index("path", "/", -1).alias("name"), F.col("path").alias("qualified_name"), *[F.lit(0).alias(c) for c in ("line", "col", "end_line", "end_col")], *[F.lit("").alias(c) for c in ("signature", "docstring", "visibility")], *[F.lit(False).alias(c) for c in ("is_static", "is_const", "is_exported")])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import dirname, language_of, namespace, partner_file, search_tokens, shorten, token_estimate
 from graphloom.operators import context, diffimpact, export, fts, lookup, metrics, resolve, scc, semantic, store, traverse
 from graphloom.operators.store import changed_files, deleted_files
+from graphloom.runtime import stage
 from graphloom.schema import CALLS, edge_kind_name, node_kind_name
 from graphloom.sources import diff, tables
 from graphloom.sources.tables import EVENT_HUNKS, FILE_VERSIONS, PART_EDGES, PART_NODES, USER_EDGES, event_hunks, file_versions, part_edges, part_nodes, user_edges
@@ -497,12 +498,33 @@ def name_tokens(spark, d):
 # -- extraction -------------------------------------------------------------------------------------------
 
 
+_SOURCES = (
+    ("./a.cpp", "cpp", b"#include <x>\nnamespace m { int add(int a) { return twice(a); } class C { int f() { return add(1); } }; }\n"),
+    ("./b.cpp", "cpp", b"int twice(int a) { return a + a; }\nint main() { return add(2) + missing(3); }\n"),
+    ("./c.py", "python", b"import os\ndef f():\n    return g(os.getcwd())\ndef g(x):\n    return f()\n"),
+)
+
+
+def _extracted(spark: SparkSession) -> DataFrame:
+    """Symbols and calls of three small files, made in place of a tree."""
+    from graphloom.extract.base import extract_files
+
+    rows = [(path, language, 0, len(text), bytearray(text)) for path, language, text in _SOURCES]
+    return extract_files(spark.createDataFrame(rows, "path string, language string, mtime long, size long, content binary"))
+
+
 @query()
 def extract_sources(spark, d):
-    """Symbols of the small trees that the tests hold expected rows for, made in place of files."""
-    from graphloom.extract.base import extract_files
+    found = _extracted(spark).select("path", F.posexplode("nodes").alias("pos", "n"))
+    return found.select("path", "pos", node_kind_name(F.col("n.kind")).alias("kind"), "n.name", "n.qualified_name", "n.line")
 
-    rows = [("./a.cpp", "cpp", 0, 0, bytearray(b"#include <x>\nnamespace m { int add(int a) { return twice(a); } class C { int f() { return add(1); } }; }\n")), ("./b.py", "python", 0, 0, bytearray(b"import os\ndef f():\n    return g(os.getcwd())\n"))]
-    files = spark.createDataFrame(rows, "path string, language string, mtime long, size long, content binary")
-    return extract_files(files).select("path", F.posexplode("nodes").alias("pos", "n")).select("path", "pos", node_kind_name(F.col("n.kind")).alias("kind"), "n.name", "n.qualified_name", "n.line")
 
+@query()
+def index_sources(spark, d):
+    """Edges of the indexed files by name: containment, and calls as they were resolved."""
+    from graphloom.plans.index import rebuilt
+
+    none = spark.createDataFrame([], "path string")
+    graph = rebuilt(store.Graph.empty(spark), none, stage(_extracted(spark), "extracted"))
+    names = lambda side: graph.nodes.select(F.col("id").alias(f"{side}_id"), F.col("qualified_name").alias(f"{side}_name"))
+    return graph.edges.join(names("source"), "source_id").join(names("target"), "target_id").select("source_name", "target_name", edge_kind_name(F.col("kind")).alias("kind"))

@@ -24,3 +24,8 @@ def test_sql_twin(spark, small, name):
     assert sorted(df.columns) == sorted(columns)
     text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
     assert sorted(tuple(text(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(text(v) for v in r) for r in want.fetchall())
+
+
+def test_indexed_sources(spark, small):
+    rows = {(r.source_name, r.target_name) for r in QUERIES["index_sources"](spark, small).where("kind = 'calls'").collect()}
+    assert rows == {("m::add", "twice"), ("m::C::f", "m::add"), ("main", "m::add"), ("f", "g"), ("g", "f")}
