@@ -23,7 +23,8 @@ intersection with a chance of at most 1/4, so a pair is missed with a chance
 below 4 ** -24 (3.6e-15). The filter on shared elements errs with a chance below
 1e-13. A long set with at most ``FEW`` of its prefix in lists of more than ``HEAVY``
 groups (a very common line) leaves those lists: a pair is missed then only if 21
-of the 24 least elements of its union are not shared, a chance below 1e-9.
+of the 24 least elements of its union are not shared, a chance below 1e-9. A pair
+meets in the list of the least shared element whose list neither has left.
 """
 
 from __future__ import annotations
@@ -159,9 +160,10 @@ def dealt_lists(rows: DataFrame, columns: list[str], chunk: int) -> DataFrame:
 
 
 def meet(lists: DataFrame, similarity: tuple[int, int], chunk: int = CHUNK) -> DataFrame:
-    """Rows ``(h, gid)`` of ``lists(h, gid, low, high, size, sk)`` that may link to another component in their list.
+    """Rows ``(h, gid)`` of ``lists(h, gid, low, high, size, sk, gone)`` that may link to another component in their list.
 
-    A pair counts in the list of the least element that it shares.
+    A pair counts in the list of the least element that it shares, but for those
+    whose list either row has left (``gone``; null for none).
     """
     least = least_shared(SKETCH, similarity)
 
@@ -170,6 +172,8 @@ def meet(lists: DataFrame, similarity: tuple[int, int], chunk: int = CHUNK) -> D
             group, h, gid, low, high, size = (np.asarray(table.column(k)) for k in range(6))
             lists_ = table.column(6).combine_chunks()
             at, flat = np.asarray(lists_.offsets), np.asarray(lists_.values).view(np.uint64)
+            gone = table.column(7).combine_chunks()
+            left = gone.is_valid().to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
             hs, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -181,13 +185,15 @@ def meet(lists: DataFrame, similarity: tuple[int, int], chunk: int = CHUNK) -> D
                 ok &= ~((low[a:b, None] == low[a:b]) & one[:, None] & one)
                 np.fill_diagonal(ok, False)
                 if ok.any():
+                    for k in np.flatnonzero(left[a:b]).tolist():
+                        sketch[k] = np.setdiff1d(sketch[k], np.array(gone[a + k].as_py(), np.int64).view(np.uint64), assume_unique=True)
                     ok &= shared_counts(sketch, int(h[a : a + 1].view(np.uint64)[0])) == 0
                 stays = a + np.flatnonzero(ok.any(1))
                 hs.append(h[stays])
                 ids.append(gid[stays])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids))], names=["h", "gid"])
 
-    return arrow(dealt_lists(lists, ["gid", "low", "high", "size", "sk"], chunk), run, "h long, gid long").distinct()
+    return arrow(dealt_lists(lists, ["gid", "low", "high", "size", "sk", "gone"], chunk), run, "h long, gid long").distinct()
 
 
 def texts_of(wanted: DataFrame, single: DataFrame, docs: DataFrame) -> DataFrame:
@@ -288,7 +294,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     lists = stage(posts.groupBy("h").agg(F.count("*").alias("c"), F.min("w").alias("first")).where("c > 1").select(F.col("h").alias("__h"), "c", F.col("first.uid").alias("star")), "lists")
     met = stage(posts.join(lists, F.col("h") == F.col("__h")).select("h", "gid", "n", "c", "star"), "met")
     common = (F.col("c") > heavy) & (need >= prefix)  # short sets need their exact prefix
-    lean = met.where(common).groupBy(F.col("gid").alias("__g")).agg(F.count("*").alias("few")).where(F.col("few") <= FEW).select("__g")
+    lean = met.where(common).groupBy(F.col("gid").alias("__g")).agg(F.count("*").alias("few"), F.collect_list("h").alias("gone")).where(F.col("few") <= FEW)
+    lean = stage(lean.select("__g", "gone"), "lean")
     met = met.join(lean, (F.col("gid") == F.col("__g")) & common, "left_anti")
     sketches = groups.select(F.col("gid").alias("k"), F.col("n").alias("size"), F.col("sketch").alias("sk"))
 
@@ -307,7 +314,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     spread = stage(spread, "group-components")
     wide = met.select("h", "gid").join(spread, F.col("gid") == F.col("__gid")).select("h", "gid", "low", "high")
     mixed = wide.groupBy("h").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select(F.col("h").alias("__h"))
-    open_ = stage(wide.join(mixed, F.col("h") == F.col("__h")).join(sketches, F.col("gid") == F.col("k")).select("h", "gid", "low", "high", "size", "sk"), "open-lists")
+    open_ = stage(wide.join(mixed, F.col("h") == F.col("__h")).join(sketches, F.col("gid") == F.col("k")).join(lean, F.col("gid") == F.col("__g"), "left").select("h", "gid", "low", "high", "size", "sk", "gone"), "open-lists")
     near = meet(open_, similarity, chunk)
     near = near.unionByName(spread.where("low <> high").select(F.col("__gid").alias("h"), F.col("__gid").alias("gid")))
     near = stage(near, "lists-left")

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from graphloom.llm import jaccard
 
@@ -103,3 +104,20 @@ def test_families_at_production_settings(spark):
     base = [f"w{x}" for x in rng.integers(0, 1 << 30, 150)]
     rows = [(i, edited(rng, base, int(rng.integers(0, 9)))) for i in range(150)]
     check(spark, rows)
+
+
+def test_left_list_of_the_least_shared_element(spark):
+    """Near copies leave the list of a common line; the lists of their other elements begin with unlike rows."""
+    rng = np.random.default_rng(6)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 1 << 30, n)]
+
+    phrases = [words(5) for _ in range(20_000)]
+    data, offsets = jaccard.utf8(pa.array([" ".join(w) for w in phrases]))
+    line = phrases[int(np.argmin([s[0] for s in jaccard.shingle_sets(data, offsets)]))]
+    base = line + words(145)
+    rows = [(i, " ".join(base[i : i + 5])) for i in range(1, 146)]
+    rows += [(200 + i, " ".join(line + words(145))) for i in range(14)]
+    rows += [(300, " ".join(base)), (301, " ".join([*base[:-1], "new"])), (302, " ".join([*base[:-2], "new", "end"]))]
+    check(spark, rows, heavy=10)
