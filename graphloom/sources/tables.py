@@ -42,7 +42,7 @@ FILE_VERSIONS = {
 EVENT_HUNKS = """
 SELECT './' || p_type || '/' || p_brand || '.cpp' AS file_path, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS line_start,
        CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) + CAST(event_id % 5 AS INT) AS line_end, TRUE AS is_added
-FROM events JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part) WHERE event_id % 50 = 0
+FROM events JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part)
 """
 
 

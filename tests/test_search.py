@@ -1,12 +1,15 @@
 """Full-text search against an independent engine, semantic search, diffs."""
 
+import re
 import sqlite3
 
 import pytest
 
 from graphloom.functions.text import cosine
 from graphloom.operators import fts, semantic
+from graphloom.plans.queries import QUERIES
 from graphloom.sources import diff
+from graphloom.sources.tables import part_edges
 
 ROWS = [
     (1, 1, "test_func", "ns::test_func", "int test_func(int a)", "", "./src/a.cpp"),
@@ -86,6 +89,29 @@ def test_hunks(spark):
     assert diff.hunks_of(spark, "").collect() == []
 
 
+def test_event_hunks_whole(spark, small):
+    """Every event is a hunk; symbols and impact by brute force."""
+    parts = spark.read.parquet(f"{small}/part.parquet").collect()
+    keys = {p.p_partkey: p for p in parts}
+    hunks = {}
+    for r in spark.read.parquet(f"{small}/events.parquet").select("event_id", "props").collect():
+        p = keys.get(r.event_id % len(parts))
+        if p is not None:
+            start = int(re.search("[0-9]+", r.props)[0])
+            hunks.setdefault((p.p_type, p.p_brand), []).append((start, start + r.event_id % 5))
+    want = {p.p_partkey for p in parts for a, b in hunks.get((p.p_type, p.p_brand), []) if p.p_size <= b and p.p_size + p.p_partkey % 7 >= a}
+    assert {r.id for r in QUERIES["hunk_overlap"](spark, small).collect()} == want
+    back = {}
+    for r in part_edges(spark, small).collect():
+        back.setdefault(r.target_id, set()).add(r.source_id)
+    level, reached = want, set()
+    for _ in range(3):
+        level = {b for a in level for b in back.get(a, ())}
+        reached |= level
+    got = sorted((r.id, r.role) for r in QUERIES["change_impact"](spark, small).collect())
+    assert got == sorted([(k, "affected") for k in want] + [(k, "impact") for k in reached - want if k in keys])
+
+
 def test_hostile_ref(tmp_path):
     marker = tmp_path / "marker"
     assert diff.git_diff(f"HEAD; touch {marker}", str(tmp_path)) == "" and diff.git_diff(f"--output={marker}") == ""
