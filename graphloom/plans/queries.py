@@ -13,7 +13,7 @@ from graphloom.operators.store import changed_files, deleted_files
 from graphloom.runtime import stage
 from graphloom.schema import CALLS, edge_kind_name, node_kind_name
 from graphloom.sources import diff, tables
-from graphloom.sources.tables import EVENT_HUNKS, FILE_VERSIONS, PART_EDGES, PART_NODES, USER_EDGES, event_hunks, file_versions, part_edges, part_nodes, user_edges
+from graphloom.sources.tables import EVENT_HUNKS, FILE_VERSIONS, PART_EDGES, PART_NODES, PART_PAIRS, USER_EDGES, USER_PAIRS, event_hunks, file_versions, part_edges, part_nodes, part_pairs, user_edges, user_pairs
 
 #: Nodes with callers, and with callees, at every size of the tables.
 START, START_OUT = 7, 180
@@ -203,6 +203,26 @@ def graph_metrics(spark, d):
     return metrics.graph_metrics(part_nodes(spark, d), part_edges(spark, d))
 
 
+@query(f"WITH {_DEG.replace(PART_EDGES, PART_PAIRS)} SELECT id, name, in_degree, out_degree FROM g")
+def degrees_whole(spark, d):
+    return metrics.degrees(metrics.functions_of(part_nodes(spark, d)), part_pairs(spark, d))
+
+
+@query()  # closing a giant component in SQL costs its square
+def sccs_whole(spark, d):
+    return scc.strong_components(part_pairs(spark, d))
+
+
+@query(_SCC_USERS.replace(USER_EDGES, USER_PAIRS) + " SELECT v.id, coalesce(m.scc, v.id) AS scc FROM v LEFT JOIN m ON m.id = v.id")
+def sccs_users_whole(spark, d):
+    return scc.strong_components(user_pairs(spark, d))
+
+
+@query()
+def graph_metrics_whole(spark, d):
+    return metrics.graph_metrics(part_nodes(spark, d), part_pairs(spark, d))
+
+
 # -- traversals -------------------------------------------------------------------------------------------
 
 

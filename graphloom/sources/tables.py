@@ -34,6 +34,20 @@ WITH seq AS (SELECT user_id AS s, event_type, LEAD(user_id) OVER (ORDER BY ts, e
 SELECT DISTINCT s * 10000000 + t AS id, s AS source_id, t AS target_id, 1 AS kind FROM seq WHERE event_type = 'error' AND t IS NOT NULL AND s <> t AND s % 5 = t % 5
 """
 
+#: The whole graphs that PART_EDGES and USER_EDGES thin: each consecutive pair is a call.
+PART_PAIRS = """
+WITH seq AS (
+  SELECT l_partkey AS s,
+         LEAD(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS t
+  FROM lineitem)
+SELECT DISTINCT 100000000000000 + s * 10000000 + t AS id, s AS source_id, t AS target_id, 1 AS kind FROM seq WHERE t IS NOT NULL
+"""
+
+USER_PAIRS = """
+WITH seq AS (SELECT user_id AS s, LEAD(user_id) OVER (ORDER BY ts, event_id) AS t FROM events)
+SELECT DISTINCT s * 10000000 + t AS id, s AS source_id, t AS target_id, 1 AS kind FROM seq WHERE t IS NOT NULL AND s <> t
+"""
+
 FILE_VERSIONS = {
     "files_old": "SELECT CAST(o_orderkey AS VARCHAR(20)) AS path, CAST(floor(o_totalprice) AS BIGINT) AS size, CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS BIGINT) AS mtime FROM orders",
     "files_new": "SELECT CAST(o_orderkey AS VARCHAR(20)) AS path, CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS size, CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS BIGINT) AS mtime FROM orders WHERE o_orderkey % 10 <> 1",
@@ -72,6 +86,16 @@ def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(USER_EDGES)
 
 
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem")
+    return spark.sql(PART_PAIRS)
+
+
+def user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "events")
+    return spark.sql(USER_PAIRS)
+
+
 def event_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "events", "part")
     return spark.sql(EVENT_HUNKS)

@@ -1,12 +1,14 @@
 """Traversals, components, metrics and lookups against plain Python, and the fixtures of the survey."""
 
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
+from itertools import pairwise
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import context, diffimpact, export, lookup, metrics, resolve, scc, traverse
+from graphloom.plans.queries import QUERIES
 
 NODE = "id long, kind int, name string, qualified_name string, file_path string, line int, end_line int, signature string, docstring string"
 
@@ -155,3 +157,38 @@ def test_orders_of_candidates_are_total(spark):
     n = nodes_of(spark, *["same"] * 30)
     got = resolve.candidates(spark.createDataFrame([("same",)], "ref_name string"), n)
     assert sorted(r.id for r in got.collect()) == list(range(1, 11)) and got.agg(F.max("rank")).first()[0] == 10
+
+
+def test_whole_pairs(spark, small):
+    """Degrees, components and metrics over all consecutive pairs, by brute force."""
+    orders = {}
+    for r in spark.read.parquet(f"{small}/lineitem.parquet").collect():
+        orders.setdefault(r.l_orderkey, []).append((r.l_linenumber, r.l_partkey, r.l_suppkey))
+    pairs = {(a[1], b[1]) for rows in orders.values() for a, b in pairwise(sorted(rows))}
+    events = sorted((r.ts, r.event_id, r.user_id) for r in spark.read.parquet(f"{small}/events.parquet").collect())
+    users = {(a[2], b[2]) for a, b in pairwise(events) if a[2] != b[2]}
+
+    def components(edges):
+        after = {}
+        for a, b in edges:
+            after.setdefault(a, set()).add(b)
+            after.setdefault(b, set())
+        reach = {}
+        for a in after:
+            seen, todo = {a}, [a]
+            while todo:
+                new = after[todo.pop()] - seen
+                seen |= new
+                todo += new
+            reach[a] = seen
+        return {a: min(b for b in reach[a] if a in reach[b]) for a in after}
+
+    for name, edges in (("sccs_whole", pairs), ("sccs_users_whole", users)):
+        assert {r.id: r.scc for r in QUERIES[name](spark, small).collect()} == components(edges)
+    functions = {p.p_partkey for p in spark.read.parquet(f"{small}/part.parquet").collect() if p.p_partkey % 10 < 8}
+    calls = {(a, b) for a, b in pairs if a in functions and b in functions}
+    got = {r.id: (r.in_degree, r.out_degree) for r in QUERIES["degrees_whole"](spark, small).collect()}
+    assert got == {k: (sum(b == k for _, b in calls), sum(a == k for a, _ in calls)) for k in functions}
+    (m,) = QUERIES["graph_metrics_whole"](spark, small).collect()
+    sizes = Counter(components(calls).values())
+    assert (m.n_nodes, m.n_edges, m.n_cycles) == (len(functions), len(calls), sum(n > 1 for n in sizes.values()))
