@@ -479,6 +479,25 @@ def _scores(spark, d, text: str) -> DataFrame:
     return fts.bm25(fts.postings(n), text, n.count()).select("id", F.round("score", 6).alias("score"))
 
 
+_DOCUMENT_FIELDS = ("lang", "source", "text")
+_DOCUMENT_POST = "n AS (SELECT doc_id AS id, lang, source, text FROM documents), posts AS (" + " UNION ALL ".join(f"SELECT id, {i} AS field, unnest(range(len(tk))) AS pos, unnest(tk) AS token FROM (SELECT id, {_TOKENS.format(f'strip_accents({f})')} AS tk FROM n) z{i}" for i, f in enumerate(_DOCUMENT_FIELDS)) + ")"
+
+
+def _document_postings(spark, d) -> DataFrame:
+    return fts.postings(spark.read.parquet(f"{d}/documents.parquet"), _DOCUMENT_FIELDS, "doc_id")
+
+
+@query(f"WITH {_DOCUMENT_POST} SELECT token, count(*) AS n, count(DISTINCT id) AS df FROM posts GROUP BY token")
+def fts_document_tokens(spark, d):
+    return _document_postings(spark, d).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("id").alias("df"))
+
+
+@query(_bm25([["the"], ["of"]]).replace(_POST, _DOCUMENT_POST))
+def fts_document_bm25(spark, d):
+    n = spark.read.parquet(f"{d}/documents.parquet").count()
+    return fts.bm25(_document_postings(spark, d), "the of", n).select("id", F.round("score", 6).alias("score"))
+
+
 @query(_bm25([["red"], ["gear"]]))
 def fts_bm25(spark, d):
     return _scores(spark, d, "red gear")

@@ -1,7 +1,10 @@
 """Full-text search against an independent engine, semantic search, diffs."""
 
+import math
 import re
 import sqlite3
+import unicodedata
+from collections import Counter
 
 import pytest
 
@@ -116,3 +119,25 @@ def test_hostile_ref(tmp_path):
     marker = tmp_path / "marker"
     assert diff.git_diff(f"HEAD; touch {marker}", str(tmp_path)) == "" and diff.git_diff(f"--output={marker}") == ""
     assert not marker.exists()
+
+
+def test_document_queries(spark, small):
+    """Postings and scores of whole documents, by brute force."""
+    docs = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        text = " ".join(x or "" for x in (r.lang, r.source, r.text)).lower()
+        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        docs[r.doc_id] = Counter(re.findall(r"[^\W_]+", text))
+    n, df = Counter(), Counter()
+    for c in docs.values():
+        n.update(c)
+        df.update(c.keys())
+    assert {r.token: (r.n, r.df) for r in QUERIES["fts_document_tokens"](spark, small).collect()} == {t: (n[t], df[t]) for t in n}
+    mean = sum(n.values()) / len(docs)
+    want = {}
+    for k, c in docs.items():
+        if c["the"] and c["of"]:
+            norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
+            want[k] = -sum(max(math.log((len(docs) - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * c[t] * 2.2 / (c[t] + norm) for t in ("the", "of"))
+    got = {r.id: r.score for r in QUERIES["fts_document_bm25"](spark, small).collect()}
+    assert want and got == pytest.approx(want, abs=1e-6)
