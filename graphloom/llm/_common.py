@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from graphloom.runtime import shared_dir, stage
 
-__all__ = ["SPACE_CLASS", "WORD_REGEX", "arrow", "cut", "import_path", "keyed", "read", "shared_dir", "stage", "text_of", "whole_groups", "without"]
+__all__ = ["SPACE_CLASS", "WORD_REGEX", "arrow", "bounded_batches", "cut", "import_path", "keyed", "narrow", "read", "shared_dir", "stage", "text_of", "whole_groups", "without"]
+
+#: Bytes that an Arrow batch on its way to Python holds at most, but for its last row.
+BATCH_BYTES = 2 << 20
+#: Files of a narrow table for each core.
+FILES = 4
 
 #: The six ASCII white-space characters that separate words in every operator here.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -25,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stage` for a table of a few numbers a row: a few files for each core, however many partitions it came in."""
+    return stage(df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -57,9 +67,17 @@ def import_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: by rows alone a batch of long texts is as large as its texts make it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().getConfString(name).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with this package on the workers' import path."""
+    """``df.mapInArrow(run, schema)`` in bounded batches, with this package on the workers' import path."""
     import_path(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

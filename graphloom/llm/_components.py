@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import stage
+from graphloom.llm._common import narrow
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,15 +18,14 @@ def components(links: DataFrame) -> DataFrame:
     to the driver.
     """
     both = links.where("a is not null and b is not null and a <> b")
-    both = stage(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    both = narrow(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))
         hooked = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        hooked = stage(hooked, "hooked")
         above = hooked.select(F.col("id").alias("up"), F.col("component").alias("top"))
         jumped = hooked.join(above, F.col("component") == F.col("up")).select("id", "old", F.least("component", "top").alias("component"))
-        jumped = stage(jumped, "jumped")
+        jumped = narrow(jumped, "labels")
         labels = jumped.select("id", "component")
         if not jumped.where("old <> component").limit(1).count():
             return labels

@@ -1,48 +1,23 @@
-"""Whole columns of texts as arrays of words, word hashes and hashes of runs of words (numpy, no Python loop over words).
+"""Whole columns of texts as words, word hashes and hashes of runs of words.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` in UTF-8. The hash of a word is a sum of
-random 64-bit values of its bytes times powers of an odd base, taken from prefix
-sums over a block of bytes; a finaliser mixes it.
+Words are ``[^\\x20\\x09-\\x0D]+`` in UTF-8. A word's hash is XXH3 with 128 bits of
+its bytes, kept as two independent halves (``lane`` 0 and 1): candidates are found
+by the first, what they say is verified by the second. Runs of words are hashed by
+joining the hashes of their parts with a mixing function that is not linear.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text hashed at a time, unless one text is longer.
-BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _tables(lower: bool, seed: int) -> np.ndarray:
-    values = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, 256, dtype=np.uint64)
-    if lower:
-        values[65:91] = values[97:123]
-    values[_SPACE] = 0
-    return values
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(BLOCK + 1, n)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size > BLOCK + 1:
-            return have  # not kept: one long text
-        _POWERS[base] = have
-    return have[:n]
+BLOCK = 1 << 19
+SEED = 0x5EED
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -55,17 +30,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def join(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of two parts that follow one another, from their hashes."""
+    h = mix(second + np.uint64(0x9E3779B97F4A7C15))
+    h += first
+    return mix(h)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty. The offsets begin at 0."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if column.null_count:
         column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+    wide = pa.types.is_large_string(column.type)
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    kind, bytes_ = (np.int64, 8) if wide else (np.int32, 4)
+    offsets = np.frombuffer(column.buffers()[1], kind, len(column) + 1, column.offset * bytes_).astype(np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -81,43 +63,30 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of a run of texts: ``hashes``, and for text i the words ``first[i]`` up to ``first[i + 1]``.
-
-    ``between`` tells the bytes that separate words.
-    """
+    """The words of a run of texts: ``words``, their ``hashes``, and for text i the words ``first[i]`` up to ``first[i + 1]``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 1, between: np.ndarray = _SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, lane: int = 0):
         base = int(offsets[0])
-        data, offsets = data[base : int(offsets[-1])], offsets - base
-        space = between[data]
-        edge = np.empty(len(data), bool)
-        if len(data):
-            edge[0] = True
-            edge[1:] = space[:-1]
-            edge[offsets[1:-1][offsets[1:-1] < len(data)]] = True
-        self.starts = np.flatnonzero(edge & ~space)
-        last = np.empty(len(data), bool)
-        if len(data):
-            last[-1] = True
-            last[:-1] = space[1:]
-            ends = offsets[1:-1] - 1
-            last[ends[ends >= 0]] = True
-        self.ends = np.flatnonzero(last & ~space) + 1
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_tables(lower, seed)[data] * powers(_BASE, len(data)), out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * powers(_INVERSE, len(data) + 1)[self.starts])
-        self.first = np.searchsorted(self.starts, offsets)
-        self.data = data
-
-    def runs(self, length: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the ``length`` words from each word on, and whether they lie in one text."""
-        n = len(self.hashes) - length + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        return run_hashes(self.hashes, length, seed), self.inside(length)
+        raw = data[base : int(offsets[-1])].tobytes()
+        raw = raw.lower() if lower else raw  # of bytes: A-Z only
+        words: list[bytes] = []
+        first = [0]
+        at = (offsets - base).tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            words += raw[a:b].split()  # of bytes: the six ASCII white spaces only
+            first.append(len(words))
+        self.words, self.first = words, np.array(first, np.int64)
+        digests = bytearray().join(map(xxhash.xxh3_128_digest, words, repeat(SEED)))
+        self.hashes = np.frombuffer(digests, np.uint64)[lane::2].copy() if words else np.zeros(0, np.uint64)
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words, joined by one space, and where each begins and ends."""
+        size = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        end = np.cumsum(size + 1) - 1
+        return b" ".join(self.words), end - size, end
 
     def inside(self, length: int) -> np.ndarray:
+        """Whether the ``length`` words from each word on lie in one text."""
         n = len(self.hashes) - length + 1
         if n <= 0:
             return np.zeros(0, bool)
@@ -129,13 +98,25 @@ class Words:
         return good[:n]
 
 
-def run_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """Hash of each run of ``length`` successive word hashes."""
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of ``length`` successive word hashes, by doubling."""
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    step = (_BASE + 2 * seed * 0x632BE59BD9B4E019) % (1 << 64) | 1
-    total = np.empty(len(words) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(words * powers(step, len(words)), out=total[1:])
-    return mix((total[length:] - total[:-length]) * powers(pow(step, -1, 1 << 64), n))
+    out, have, power, size = None, 0, words, 1
+    while True:
+        if length & size:
+            out = power[:n] if out is None else join(out[:n], power[have : have + n])
+            have += size
+        if have == length:
+            return out.copy() if out is power or out.base is not None else out
+        power = join(power[:-size], power[size:])
+        size *= 2
+
+
+def sequence_hash(words: np.ndarray) -> np.uint64:
+    """Hash of a short run of any length, its length included."""
+    h = np.array([len(words)], np.uint64)
+    for k in range(len(words)):
+        h = join(h, words[k : k + 1])
+    return h[0]

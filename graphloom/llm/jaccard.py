@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm._common import arrow, keyed, read, stage, text_of, whole_groups, without
 from graphloom.llm._components import components
-from graphloom.llm._words import Words, blocks, mix, powers, run_hashes, utf8
+from graphloom.llm._words import Words, blocks, mix, run_hashes, sequence_hash, utf8
 
 WORDS = 5
 #: Jaccard as numerator and denominator.
@@ -67,10 +67,10 @@ def least_shared(k: int, similarity: tuple[int, int] = SIMILARITY, error: float
     return k
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int = WORDS) -> Iterator[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int = WORDS, lane: int = 0) -> Iterator[np.ndarray]:
     """For each text the sorted hashes of its distinct shingles; of its whole sequence if that is shorter; none without words."""
-    words = Words(data, offsets, True)
-    hashes = run_hashes(words.hashes, length, 5)
+    words = Words(data, offsets, True, lane)
+    hashes = run_hashes(words.hashes, length)
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= length:
             s = np.sort(hashes[a : b - length + 1])
@@ -79,8 +79,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int = WORDS) ->
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             yield s[keep]
         elif b > a:
-            w = words.hashes[a:b]
-            yield mix(np.array([(w * powers(0xD6E8FEB86659FD93, len(w))).sum() + np.uint64(b - a)], np.uint64))
+            yield np.array([sequence_hash(words.hashes[a:b])], np.uint64)
         else:
             yield np.zeros(0, np.uint64)
 

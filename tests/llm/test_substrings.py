@@ -61,13 +61,55 @@ def test_word_hashes():
     data, offsets = utf8(pa.array(texts))
     w = Words(data, offsets, False)
     found = [t for x in texts for t in re.findall(r"[^\x20\x09-\x0D]+", x or "")]
-    assert [data[a:b].tobytes().decode() for a, b in zip(w.starts, w.ends, strict=True)] == found
+    assert [x.decode() for x in w.words] == found
+    body, starts, ends = w.joined()
+    assert [body[a:b].decode() for a, b in zip(starts, ends, strict=True)] == found
     assert list(np.diff(w.first)) == [3, 0, 0, 2, 3, 1]
     assert len(set(w.hashes.tolist())) == len(set(found)) and w.hashes[1] == w.hashes[3] and w.hashes[2] == w.hashes[-1]
     assert list(w.inside(2)) == [True, True, False, True, False, True, True, False]
     assert run_hashes(w.hashes, 2)[1] == run_hashes(w.hashes, 2)[3]
-    low = Words(data, offsets, True)
+    low, other = Words(data, offsets, True), Words(data, offsets, False, 1)
     assert low.hashes[0] != low.hashes[5] and len(low.hashes) == len(w.hashes)
+    assert not set(w.hashes.tolist()) & set(other.hashes.tolist())
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 8, 35])
+def test_run_hashes(length):
+    rng = np.random.default_rng(length)
+    w = rng.integers(0, 3, 400).astype(np.uint64)
+    runs = [tuple(w[i : i + length].tolist()) for i in range(400 - length + 1)]
+    got = run_hashes(w, length).tolist()
+    assert len(got) == len(runs) and len(set(zip(runs, got, strict=True))) == len(set(runs)) == len(set(got))
+    assert run_hashes(w[: length - 1], length).tolist() == []
+
+
+def thue_morse(a, b, power):
+    """Two different sequences of ``a`` and ``b`` that any polynomial modulo 2 ** 64 hashes alike."""
+    signs = [bin(i).count("1") % 2 for i in range(1 << power)]
+    return [(a, b)[s] for s in signs], [(b, a)[s] for s in signs]
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = ("".join(t) for t in thue_morse("a", "b", 11))
+    line = " ".join(f"w{i}" for i in range(34))
+    check(spark, [(1, f"{line} {x}"), (2, f"{line} {y}"), (3, f"{y} {line}"), (4, f"{line} {x}")], 35, 8)
+    p, q = thue_morse("left", "right", 11)
+    check(spark, [(1, " ".join(p)), (2, " ".join(q)), (3, " ".join(p[:1200]))], 35, 8)
+
+
+def test_long_text_and_many_copies_of_a_row(spark):
+    rng = np.random.default_rng(1)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"w{i}" for i in rng.integers(0, 1 << 40, 300_000))
+    rows = [(1, f"{long} {passage} {long[:2000]}"), (2, f"x {passage} y"), *[(3, f"{passage} of a row that is there often")] * 300]
+    check(spark, rows, 35, 8)
+
+
+def test_repeats(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    df = spark.createDataFrame([(1, f"a b {passage} c"), (2, f"{passage} {passage}"), (3, "one two")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.repeats] for r in substrings.remove_repeats(df).collect()}
+    assert got == {1: [(2, 52)], 2: [(0, 100)], 3: []}
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 5, 8, 28])
