@@ -105,16 +105,19 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", win
                 )
 
     runs = stage(arrow(docs, seeds, "__a long, __b long, anchor long, w1 long, w2 long, begin int, end int, times int"), "anchor-runs")
+    # Most anchors occur once; what follows moves only the others.
+    again = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.max("times").alias("most")).where("n > 1 or most > 1").select(F.col("anchor").alias("__anchor"))
+    hits = stage(runs.join(again, F.col("anchor") == F.col("__anchor")).drop("__anchor"), "anchor-hits")
     # Extensions of each anchor: how many occurrences (a row that occurs n times has n), one of them. All firsts are of one row.
     one = [F.first(c).alias(c) for c in ("__a", "__b", "begin", "end")]
-    extensions = stage(runs.groupBy("anchor", "w1", "w2").agg(F.count("*").alias("n"), F.max("times").alias("times"), *one), "anchor-extensions")
+    extensions = stage(hits.groupBy("anchor", "w1", "w2").agg(F.count("*").alias("n"), F.max("times").alias("times"), *one), "anchor-extensions")
     mixed = extensions.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("times").alias("most")).where("kinds > 1 or most > 1").select(F.col("anchor").alias("__anchor"))
     # Extensions that occur twice repeat as a whole.
     twice = extensions.where("n > 1").select(*[F.col(c).alias(f"__{c}") for c in ("anchor", "w1", "w2")])
     same = (F.col("anchor") == F.col("__anchor")) & (F.col("w1") == F.col("__w1")) & (F.col("w2") == F.col("__w2"))
-    whole = runs.join(twice, same).select("__a", "__b", "begin", (F.col("end") + window).alias("end"))
+    whole = hits.join(twice, same).select("__a", "__b", "begin", (F.col("end") + window).alias("end"))
     # One occurrence of each extension of an anchor that has several is taken apart into windows.
-    parts = extensions.join(mixed, F.col("anchor") == F.col("__anchor")).select("__a", "__b", F.struct("anchor", "begin", "end", F.least("n", F.lit(2)).cast("int").alias("n")).alias("run"))
+    parts = extensions.join(mixed, F.col("anchor") == F.col("__anchor")).select("__a", "__b", F.struct("begin", "end", F.least("n", F.lit(2)).cast("int").alias("n")).alias("run"))
     lists = parts.groupBy("__a", "__b").agg(F.collect_list("run").alias("runs")).select(F.col("__a").alias("__x"), F.col("__b").alias("__y"), "runs")
     texts = docs.join(lists, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y"))).drop("__x", "__y")
 
@@ -124,7 +127,7 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", win
             data, offsets = utf8(batch.column(2))
             lists = batch.column(3)
             at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            anchor, begin, end, n = (np.asarray(x) for x in lists.flatten().flatten())
+            begin, end, n = (np.asarray(x) for x in lists.flatten().flatten())
             for i, j in blocks(offsets):
                 words = Words(data, offsets[i : j + 1], False)
                 body, starts, ends = words.joined()
@@ -136,12 +139,12 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", win
                 first = place + words.first[doc[k] - i]
                 h1, h2 = digests(body, starts[first], ends[first + window - 1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[doc[k]]), pa.array(b[doc[k]]), pa.array(anchor[r][k]), pa.array(h1), pa.array(h2), pa.array(place.astype(np.int32)), pa.array(n[r][k].astype(np.int32))],
-                    names=["__a", "__b", "anchor", "h1", "h2", "begin", "n"],
+                    [pa.array(a[doc[k]]), pa.array(b[doc[k]]), pa.array(h1), pa.array(h2), pa.array(place.astype(np.int32)), pa.array(n[r][k].astype(np.int32))],
+                    names=["__a", "__b", "h1", "h2", "begin", "n"],
                 )
 
     # A repeated row (same key) meets its run once for each of its copies; its windows then count as repeated, as they are.
-    single = stage(arrow(texts, windows, "__a long, __b long, anchor long, h1 long, h2 long, begin int, n int"), "anchor-windows")
+    single = stage(arrow(texts, windows, "__a long, __b long, h1 long, h2 long, begin int, n int"), "anchor-windows")
     found = single.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
     more = single.join(found, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))).select("__a", "__b", "begin", (F.col("begin") + window).alias("end"))
     # A set, not a list: the copies of a repeated row have the same spans.
