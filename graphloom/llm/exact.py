@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from graphloom.llm._common import import_path, read, stage, text_of, without
+from graphloom.llm._common import bounded_batches, import_path, narrow, read, stage, text_of, without
 from graphloom.llm._words import mix
 
 #: Digests in a part of the index on average, and places for a digest in each level.
@@ -83,58 +85,62 @@ class PerfectHash:
 
 def _digests(column: pa.Array) -> np.ndarray:
     """A binary column of 32-byte digests as rows of four words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 4)
+    fixed = column.cast(pa.binary(32))
+    return np.frombuffer(fixed.buffers()[1], np.uint64, 4 * len(fixed), 32 * fixed.offset).reshape(-1, 4) if len(fixed) else np.zeros((0, 4), np.uint64)
 
 
-#: Each part of the index is one row.
-INDEX = "part int, sizes array<int>, bits binary, digests binary, keys array<long>, tags array<long>, counts array<long>"
-FOUND = "digest binary, key long, tag long, n long"
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _one(values: pa.Array) -> pa.Array:
+    """The values as the list of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def build_index(winners: DataFrame) -> DataFrame:
-    """Index of ``winners(part, digest, key, tag, n)``, distinct digests."""
+    """Index of ``winners(part, digest, key, tag, n)``, distinct digests: each part is one row."""
+    kind = winners.schema["key"].dataType.simpleString()
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        digests = _digests(table["digest"])
+        digests = _digests(_flat(table["digest"]))
         index = PerfectHash.build(digests)
         order = np.empty(len(digests), np.int64)
         order[index.slots(digests)] = np.arange(len(digests))
         sizes, bits = index.pack()
-        column = lambda n: pa.array([table[n].take(pa.array(order)).to_pylist()], pa.list_(pa.int64()))
-        return pa.table({"part": table["part"].slice(0, 1).cast(pa.int32()), "sizes": pa.array([sizes], pa.list_(pa.int32())), "bits": pa.array([bits]), "digests": pa.array([digests[order].tobytes()]), "keys": column("key"), "tags": column("tag"), "counts": column("n")})
+        held = {name: _one(_flat(table[c]).take(pa.array(order))) for name, c in (("keys", "key"), ("tags", "tag"), ("counts", "n"))}
+        return pa.table({"part": _flat(table["part"]).slice(0, 1).cast(pa.int32()), "sizes": pa.array([sizes], pa.list_(pa.int32())), "bits": pa.array([bits]), "digests": pa.array([digests[order].tobytes()]), **held})
 
     import_path(winners.sparkSession)
-    return winners.groupBy("part").applyInArrow(build, INDEX)
+    bounded_batches(winners.sparkSession)
+    return winners.groupBy("part").applyInArrow(build, f"part int, sizes array<int>, bits binary, digests binary, keys array<{kind}>, tags array<long>, counts array<long>")
 
 
 def look_up(batch: DataFrame, index: DataFrame) -> DataFrame:
     """One row for each digest of ``batch(part, digest, key, tag, n)`` or of the index: its winner and the count of both."""
+    kind = batch.schema["key"].dataType
+    held = pa.schema([("digest", pa.binary()), ("key", to_arrow_type(kind)), ("tag", pa.int64()), ("n", pa.int64())])
 
     def find(new: pa.Table, parts: pa.Table) -> pa.Table:
-        new = new.combine_chunks()
-        key, tag, n = (new[c].to_pylist() for c in ("key", "tag", "n"))
-        raw = new["digest"].to_pylist()
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        free = np.ones(len(raw), bool)
-        if parts.num_rows:
-            part = parts.slice(0, 1).to_pylist()[0]
-            stored = np.frombuffer(part["digests"], np.uint64).reshape(-1, 4)
-            counts = np.asarray(part["counts"], np.int64)
-            if raw:
-                asked = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 4)
-                slot = PerfectHash.unpack(part["sizes"], part["bits"]).slots(asked)
-                member = (slot >= 0) & (stored[np.maximum(slot, 0)] == asked).all(axis=1)
-                np.add.at(counts, slot[member], np.asarray(n, np.int64)[member])
-                free = ~member
-            out = ([stored[i].tobytes() for i in range(len(stored))], part["keys"], part["tags"], counts.tolist())
-        for i in np.flatnonzero(free):
-            for values, value in zip(out, (raw[i], key[i], tag[i], n[i]), strict=True):
-                values.append(value)
-        return pa.table({"digest": pa.array(out[0], pa.binary()), "key": pa.array(out[1], pa.int64()), "tag": pa.array(out[2], pa.int64()), "n": pa.array(out[3], pa.int64())})
+        new = new.select(held.names).cast(held)
+        if not parts.num_rows:
+            return new
+        part = {name: _flat(parts[name]) for name in parts.column_names}
+        raw = part["digests"][0].as_py()
+        stored, counts = np.frombuffer(raw, np.uint64).reshape(-1, 4), np.array(part["counts"].flatten())
+        if new.num_rows:
+            asked = _digests(_flat(new["digest"]))
+            slot = PerfectHash.unpack(part["sizes"][0].as_py(), part["bits"][0].as_py()).slots(asked)
+            member = (slot >= 0) & (stored[np.maximum(slot, 0)] == asked).all(axis=1)
+            np.add.at(counts, slot[member], np.asarray(new["n"])[member])
+            new = new.filter(pa.array(~member))
+        old = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(stored), [None, pa.py_buffer(raw)])
+        known = pa.table([old.cast(pa.binary()), part["keys"].flatten(), part["tags"].flatten(), pa.array(counts)], names=held.names).cast(held)
+        return pa.concat_tables([known, new])
 
     import_path(batch.sparkSession)
-    return batch.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(find, FOUND)
+    bounded_batches(batch.sparkSession)
+    return batch.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(find, f"digest binary, key {kind.simpleString()}, tag long, n long")
 
 
 def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = True) -> DataFrame:
@@ -148,11 +154,19 @@ def winners(rows: DataFrame, key: str, parts: int) -> DataFrame:
     """Distinct digests with the least key (null last; ties: the first row) and the number of rows, summed before the shuffle."""
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__tag").alias("tag"))).alias("w")
     grouped = rows.groupBy(F.col("__digest").alias("digest")).agg(first, F.count("*").alias("n"))
-    return grouped.select(F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int").alias("part"), "digest", F.col("w.key").cast("long").alias("key"), F.col("w.tag").alias("tag"), "n")
+    return grouped.select(F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int").alias("part"), "digest", F.col("w.key").alias("key"), F.col("w.tag").alias("tag"), "n")
+
+
+def lower_half(rows: DataFrame, key: str) -> Column:
+    """The default history: the lower half of the range of a whole-number key; of any other key every row."""
+    if not isinstance(rows.schema[key].dataType, T.IntegralType):
+        return F.lit(True)
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    return F.col(key) <= F.lit(None if low is None else low + (high - low) // 2)
 
 
 def decide(rows: DataFrame, history: Column, key: str = "doc_id") -> DataFrame:
-    """Rows of :func:`fingerprint` with ``keep_id``, ``group_size`` and ``kept``.
+    """``(digest, key, tag, n)`` of the winner of each digest of :func:`fingerprint`; no other column is read.
 
     ``history`` tells the rows that came before; their winners must win over the
     other rows, as a smaller key does.
@@ -161,30 +175,43 @@ def decide(rows: DataFrame, history: Column, key: str = "doc_id") -> DataFrame:
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_DIGESTS))
     old = F.coalesce(history, F.lit(False))
     index = stage(build_index(winners(rows.where(old), key, parts)), "digest-index")
-    found = stage(look_up(winners(rows.where(~old), key, parts), index), "digest-winners")
-    small = found.select(F.col("digest").alias("__found"), F.col("key").alias("keep_id"), F.col("tag").alias("__winner"), F.col("n").alias("group_size"))
-    # A digest of very many rows is a skewed key here, which AQE splits; the side of the winners has one row for each digest.
-    joined = rows.join(small.hint("merge"), F.col("__digest") == F.col("__found"))
-    return joined.select(*rows.columns, "keep_id", "group_size", (F.col("__tag") == F.col("__winner")).alias("kept"))
+    return narrow(look_up(winners(rows.where(~old), key, parts), index), "digest-winners")
 
 
 def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", history: Column | None = None, carry: bool = True) -> DataFrame:
     """All rows with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; ``carry=False`` leaves out all columns but the key.
 
     Texts are equal if they are the same bytes with each run of white space as
-    one space; null is empty. Of equal texts the row with the least key stays (a
-    null key loses to any other; of repeated rows one stays). ``history`` says
-    which rows are the historical ones; by default those in the lower half of the
-    range of keys. Columns named like an added one are replaced.
+    one space; null is empty; a long text is read whole. Of equal texts the row
+    with the least key stays (a null key loses to any other; of repeated rows one
+    stays). ``history`` says which rows are the historical ones; by default those
+    in the lower half of the range of a whole-number key. An empty table gives an
+    empty one. Columns named like an added one are replaced.
     """
     data = without(df, "keep_id", "group_size", "kept", "text_sha256")
     rows = fingerprint(data, key, text, carry)
-    if history is None:
-        low, high = rows.agg(F.min(key), F.max(key)).first()
-        history = F.col(key) <= F.lit(None if low is None else low + (high - low) // 2)
-    decided = decide(rows, history, key)
-    kept = [f"`{c}`" for c in (data.columns if carry else [key])]
-    return decided.select(*kept, "keep_id", "group_size", "kept", F.lower(F.hex("__digest")).alias("text_sha256"))
+    found = decide(rows, lower_half(rows, key) if history is None else history, key)
+    small = found.select(F.col("digest").alias("__found"), F.col("key").alias("keep_id"), F.col("tag").alias("__winner"), F.col("n").alias("group_size"))
+    # A digest of very many rows is a skewed key here, which AQE splits; the side of the winners has one row for each digest.
+    asked = rows.select(F.col("__tag").alias("__row"), "__digest") if carry else rows.withColumnRenamed("__tag", "__row")
+    decided = asked.join(small.hint("merge"), F.col("__digest") == F.col("__found"))
+    told = [F.col("keep_id"), F.col("group_size"), (F.col("__row") == F.col("__winner")).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256")]
+    if not carry:
+        return decided.select(F.col(f"`{key}`"), *told)
+    # Texts move once, by the number of their row, which no two rows share.
+    joined = rows.drop("__digest").join(decided.select("__row", *told), F.col("__tag") == F.col("__row"))
+    return joined.select(*[F.col(f"`{c}`") for c in data.columns], "keep_id", "group_size", "kept", "text_sha256")
+
+
+def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", history: Column | None = None) -> DataFrame:
+    """The rows that :func:`exact_dedup` keeps, with their own columns only.
+
+    Winners are joined by the number of their row alone, so texts move once.
+    """
+    rows = fingerprint(df, key, text)
+    found = decide(rows, lower_half(rows, key) if history is None else history, key)
+    stay = found.select(F.col("tag").alias("__winner"))
+    return rows.join(stay, F.col("__tag") == F.col("__winner"), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

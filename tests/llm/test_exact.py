@@ -41,7 +41,25 @@ def test_odd_rows(spark):
     check(ROWS, exact.exact_dedup(df, history=F.lit(True)).collect())
 
 
+def test_distinct_texts(spark):
+    df = spark.createDataFrame([(*r, "clash") for r in ROWS], "doc_id long, text string, kept string")
+    for history in (None, F.col("doc_id") < 0, F.lit(True)):
+        got = exact.distinct_texts(df, history=history)
+        assert got.columns == df.columns
+        want = [r for r in exact.exact_dedup(df).collect() if r.kept]
+        assert sorted((str(r.doc_id), normal(r.text)) for r in got.collect()) == sorted((str(r.doc_id), normal(r.text)) for r in want)
+
+
+def test_keys_of_other_types(spark):
+    rows = [("b", "x  y"), ("a", "x y"), (None, "x y"), ("zz", "only"), ("c", None), ("d", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for history in (None, F.lit(False), F.col("doc_id") < "b"):
+        check(rows, exact.exact_dedup(df, history=history).collect())
+    assert [f.dataType.simpleString() for f in exact.exact_dedup(df, carry=False).schema.fields] == ["string", "string", "bigint", "boolean", "string"]
+
+
 def test_empty(spark):
+    assert exact.distinct_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert exact.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
