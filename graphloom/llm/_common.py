@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.runtime import shared_dir, stage
 
-__all__ = ["SPACE_CLASS", "WORD_REGEX", "arrow", "bounded_batches", "cut", "import_path", "keyed", "narrow", "read", "shared_dir", "stage", "text_of", "whole_groups", "without"]
+__all__ = ["SPACE_CLASS", "WORD_REGEX", "arrow", "bounded_batches", "bounded_groups", "cut", "import_path", "keyed", "narrow", "read", "shared_dir", "stage", "text_of", "whole_groups", "without"]
 
 #: Bytes that an Arrow batch on its way to Python holds at most, but for its last row.
 BATCH_BYTES = 2 << 20
@@ -97,3 +97,33 @@ def whole_groups(batches: Iterator[pa.RecordBatch], carried: list[pa.RecordBatch
         carried.append(batch.slice(cut))
     if carried:
         yield pa.Table.from_batches(carried)
+
+
+def bounded_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Whole groups (first column) from batches in order of the group, as ``(table, True)``; a group of more than ``limit`` rows comes in pieces, as ``(table, False)``."""
+    carried: list[pa.RecordBatch] = []
+    split = None  # the group that comes in pieces
+    for batch in batches:
+        if not len(batch):
+            continue
+        group = np.asarray(batch.column(0))
+        if split is not None:
+            end = int(np.searchsorted(group, split, "right"))
+            if end:
+                yield pa.Table.from_batches([batch.slice(0, end)]), False
+            if end == len(batch):
+                continue
+            batch, group, split = batch.slice(end), group[end:], None
+        if carried and carried[-1].column(0)[0].as_py() != int(group[0]):
+            yield pa.Table.from_batches(carried), True
+            carried = []
+        last = int(np.searchsorted(group, group[-1]))
+        if last:
+            yield pa.Table.from_batches([*carried, batch.slice(0, last)]), True
+            carried = []
+        carried.append(batch.slice(last))
+        if sum(map(len, carried)) > limit:
+            yield pa.Table.from_batches(carried), False
+            carried, split = [], int(group[-1])
+    if carried:
+        yield pa.Table.from_batches(carried), True

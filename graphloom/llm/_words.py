@@ -63,7 +63,7 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of a run of texts: ``words``, their ``hashes``, and for text i the words ``first[i]`` up to ``first[i + 1]``."""
+    """The words of a run of texts: ``words``, their ``hashes`` (``lanes`` has both), and for text i the words ``first[i]`` up to ``first[i + 1]``."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, lane: int = 0):
         base = int(offsets[0])
@@ -77,7 +77,8 @@ class Words:
             first.append(len(words))
         self.words, self.first = words, np.array(first, np.int64)
         digests = bytearray().join(map(xxhash.xxh3_128_digest, words, repeat(SEED)))
-        self.hashes = np.frombuffer(digests, np.uint64)[lane::2].copy() if words else np.zeros(0, np.uint64)
+        self.lanes = np.frombuffer(digests, np.uint64).reshape(-1, 2) if words else np.zeros((0, 2), np.uint64)
+        self.hashes = self.lanes[:, lane].copy()
 
     def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The words, joined by one space, and where each begins and ends."""

@@ -43,6 +43,11 @@ def check(spark, rows, **more):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in slim) == want
 
 
+    alone = jaccard.representatives(df, **more).collect()
+    assert len(alone) == classes and sorted(str(r.doc_id) for r in alone) == sorted(str(r.doc_id) for r in got if r.kept)
+    assert all(r.kept == "clash" for r in alone)
+
+
 def edited(rng, words, n):
     words = list(words)
     for i in rng.integers(0, len(words), n):
@@ -66,13 +71,13 @@ def test_families(spark):
             at = int(size * i / 10)
             chain[at] = f"c{k}"
             k += 1
-    check(spark, rows, heavy=10, chunk=16)
+    check(spark, rows, chunk=16, stars=1, sample=10, hot=2, held=20)
 
 
 def test_odd_rows(spark):
     a = "one two three four five six seven"
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one\tTWO "), (6, "two one"), (7, a), (8, a.upper()), (8, a.upper()), (9, a + " eight"), (None, a), (None, "lone text of a null key"), (None, "lone text of a null key"), (10, "x " * 100_000), (11, "x x x x x x"), (12, "É one"), (13, "é one"), (14, "one two three four five"), (15, "one two three four")]
-    check(spark, rows, heavy=10, chunk=16)
+    check(spark, rows, chunk=16, stars=1, sample=10, hot=2, held=20)
 
 
 def test_empty(spark):
@@ -86,17 +91,34 @@ def test_documents(spark, small):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute(rows)[0]
 
 
-def test_least_shared():
-    assert 15 < jaccard.least_shared(64) < 40
-
-
 def test_shared_counts():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 25).astype(np.uint64)) for _ in range(12)]
-    for below in (None, 30):
-        want = [[len({x for x in a.tolist() if below is None or x < below} & set(b.tolist())) for b in sets] for a in sets]
-        got = jaccard.shared_counts(sets, below)
-        assert all(got[i][j] == want[i][j] for i in range(12) for j in range(12) if i != j)
+    got = jaccard.shared_counts(sets)
+    assert all(got[i][j] == len({*sets[i].tolist()} & {*sets[j].tolist()}) for i in range(12) for j in range(12) if i != j)
+
+
+def test_bitmaps_never_leave_out_a_similar_pair():
+    rng = np.random.default_rng(1)
+    sets = []
+    for n in (1, 3, 40, 100, 127, 129, 250, 260, 1000, 1030):
+        base = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        for share in (1.0, 0.97, 0.9, 0.86, 0.85, 0.5, 0.0):
+            own = rng.integers(0, 1 << 64, n - int(n * share), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[: int(n * share)], own])))
+    bits = [jaccard.bitmap(s) for s in sets]
+    offsets = np.cumsum([0, *map(len, bits)])
+    size = np.array([len(s) for s in sets])
+    got = jaccard.partners(size, np.arange(len(sets)), np.frombuffer(b"".join(bits), np.uint8), offsets, (3, 4))
+    linked = [any(4 * (k := len({*a.tolist()} & {*b.tolist()})) >= 3 * (len(a) + len(b) - k) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    assert all(g for g, l in zip(got, linked, strict=True) if l) and not got.all()
+
+
+def test_words_that_polynomials_confuse(spark):
+    signs = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    x, y = ("".join("ab"[s ^ k] for s in signs) for k in (0, 1))
+    line = " ".join(f"w{i}" for i in range(8))
+    check(spark, [(1, f"{x} {line}"), (2, f"{y} {line}"), (3, f"{y} {line}"), (4, x), (5, y), (6, f"{x} {x}")])
 
 
 def test_families_at_production_settings(spark):
@@ -120,4 +142,4 @@ def test_left_list_of_the_least_shared_element(spark):
     rows = [(i, " ".join(base[i : i + 5])) for i in range(1, 146)]
     rows += [(200 + i, " ".join(line + words(145))) for i in range(14)]
     rows += [(300, " ".join(base)), (301, " ".join([*base[:-1], "new"])), (302, " ".join([*base[:-2], "new", "end"]))]
-    check(spark, rows, heavy=10)
+    check(spark, rows, stars=2, chunk=4)
