@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.runtime import shared_dir, stage
 
-__all__ = ["SPACE_CLASS", "WORD_REGEX", "arrow", "bounded_batches", "bounded_groups", "cut", "import_path", "keyed", "narrow", "read", "shared_dir", "stage", "text_of", "whole_groups", "without"]
+__all__ = ["SPACE_CLASS", "WORD_REGEX", "arrow", "bounded", "bounded_batches", "bounded_groups", "cut", "import_path", "keyed", "narrow", "read", "shared_dir", "stage", "text_of", "whole_groups", "without"]
 
 #: Bytes that an Arrow batch on its way to Python holds at most, but for its last row.
 BATCH_BYTES = 2 << 20
@@ -35,6 +35,11 @@ def narrow(df: DataFrame, name: str) -> DataFrame:
     return stage(df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism), name)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a table in the shared folder, to be broadcast if it has no more than so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import arrow, bounded_groups, keyed, narrow, read, stage, text_of, whole_groups, without
+from graphloom.llm._common import arrow, bounded, bounded_groups, keyed, narrow, read, stage, text_of, whole_groups, without
 from graphloom.llm._components import components
 from graphloom.llm._words import Words, blocks, mix, run_hashes, sequence_hash, utf8
 
@@ -48,10 +48,10 @@ COLUMNS = 4096
 #: Bits of the smallest bitmap.
 BITS = 128
 #: Groups in the sample that tells hot elements, and how many of them make an element hot. Hot elements take another way to the same result.
-SAMPLE, HOT = 20_000, 20
+SAMPLE, HOT = 5_000, 20
 #: Rows of a list that one task holds; a longer one takes the way of hot elements.
 LIST_ROWS = 1 << 18
-#: Candidate documents whose numbers may be broadcast to the scan of the texts; with more they are joined by a shuffle.
+#: Rows of two or three numbers that may be broadcast; with more they are joined by a shuffle.
 BROADCAST_DOCS = 100_000
 
 
@@ -153,10 +153,13 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int32)
 
 
-def partners(size: np.ndarray, part: np.ndarray, data: np.ndarray, offsets: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
-    """Which rows may be similar to a row of another part, by sizes and bitmaps; exact for all that it leaves out."""
+def partners(size: np.ndarray, part: np.ndarray, data: np.ndarray, offsets: np.ndarray, similarity: tuple[int, int], earlier: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which rows may be similar to a row of another part, by sizes and bitmaps; exact for all that it leaves out.
+
+    ``earlier``: for each row the lists that come before this one. A pair that shares one of them met there.
+    """
     p, q = similarity
-    out = np.zeros(len(size), bool)
+    out, met = np.zeros(len(size), bool), None
     wide, widest = np.diff(offsets), 1 << (-(-q // p) - 1).bit_length()
     for width in np.unique(wide).tolist():
         # a partner that is larger has a bitmap of this width or of the next (or more, for a lower similarity)
@@ -171,18 +174,25 @@ def partners(size: np.ndarray, part: np.ndarray, data: np.ndarray, offsets: np.n
             j = slice(i + 1, int(ends[i]))
             if j.stop > j.start:
                 may = (own[j] != own[i]) & within(np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64), n[i], n[j], similarity)
+                if may.any() and earlier is not None:
+                    met = shared_counts(earlier) > 0 if met is None else met
+                    may &= ~met[rows[i], rows[j]]
                 if may.any():
                     out[rows[i]] = True
                     out[rows[j][may]] = True
     return out
 
 
-def dealt_lists(rows: DataFrame, columns: list[str], chunk: int) -> DataFrame:
-    """Rows of lists ``h`` by ``group``: a list, or of a list above ``chunk`` a pair of its chunks. No task then holds more than two chunks of a list at a time."""
+def dealt_lists(rows: DataFrame, by: str, chunk: int) -> DataFrame:
+    """Rows of lists ``h`` with ``group``: a list, or of a list above ``chunk`` a pair of its chunks. No task then holds more than two chunks of a list at a time."""
     sizes = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("__h"), F.ceil(F.col("c") / chunk).cast("int").alias("chunks"))
-    dealt = rows.join(sizes, F.col("h") == F.col("__h")).withColumn("side", F.pmod(F.xxhash64(columns[0]), F.col("chunks")).cast("int"))
+    dealt = rows.join(sizes, F.col("h") == F.col("__h")).withColumn("side", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("group", F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other")))
+    return dealt.select("group", *rows.columns)
+
+
+def gathered(dealt: DataFrame, columns: list[str]) -> DataFrame:
     return dealt.select("group", "h", *columns).repartition("group").sortWithinPartitions("group")
 
 
@@ -197,23 +207,31 @@ def banded(rows: DataFrame, chunk: int, similarity: tuple[int, int]) -> DataFram
     return cut.withColumn("h", F.when(F.col("__h").isNull(), F.col("h")).otherwise(F.xxhash64("h", "__band"))).drop("__h", "__band")
 
 
-def meet(lists: DataFrame, similarity: tuple[int, int], chunk: int = CHUNK) -> DataFrame:
-    """Rows ``(h, uid, c)`` of ``lists(h, uid, c, n, bits)`` that may link to a set of another component in their list."""
+def meet(lists: DataFrame, sets: DataFrame, similarity: tuple[int, int], chunk: int = CHUNK) -> DataFrame:
+    """Rows ``(h, uid, c)`` of ``lists(h, uid, n)`` that may link to a set of another component in their list.
+
+    ``sets(uid, c, n, bits, all)``: the component, size, bitmap and all lists of a
+    set. A pair counts in the first list that it shares. Lists are dealt before
+    their rows get bitmaps, which then move once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, []):
-            group, h, uid, c, n = (np.asarray(table.column(k)) for k in range(5))
+            group, h, uid, c, n, own = (np.asarray(table.column(k)) for k in (0, 1, 2, 3, 4, 6))
             data, offsets = binaries(table.column(5).combine_chunks())
+            lists_ = table.column(7).combine_chunks()
+            at, flat = np.asarray(lists_.offsets), np.asarray(lists_.values)
             edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
             stays = [np.zeros(0, np.int64)]
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a > 1 and (c[a:b] != c[a]).any():
-                    stays.append(a + np.flatnonzero(partners(n[a:b], c[a:b], data, offsets[a : b + 1], similarity)))
-            at = np.concatenate(stays)
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (h, uid, c)], names=["h", "uid", "c"])
+                    earlier = [x[x < own[a]] for x in (flat[at[k] : at[k + 1]] for k in range(a, b))]
+                    stays.append(a + np.flatnonzero(partners(n[a:b], c[a:b], data, offsets[a : b + 1], similarity, earlier)))
+            rows = np.concatenate(stays)
+            yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (h, uid, c)], names=["h", "uid", "c"])
 
-    dealt = dealt_lists(banded(lists, chunk, similarity), ["uid", "c", "n", "bits"], chunk)
-    return arrow(dealt, run, "h long, uid long, c long").distinct()
+    dealt = dealt_lists(banded(lists.withColumn("list", F.col("h")), chunk, similarity), "uid", chunk).drop("n")
+    return arrow(gathered(dealt.join(sets, "uid"), ["uid", "c", "n", "bits", "list", "all"]), run, "h long, uid long, c long").distinct()
 
 
 def open_lists(posts: DataFrame, hot: DataFrame, held: int = LIST_ROWS) -> DataFrame:
@@ -296,8 +314,7 @@ def link_lists(rows: DataFrame, sets: DataFrame, docs: DataFrame, length: int, s
                 right.append(uid[a + j[first]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    full = rows.join(whole, F.col("uid") == F.col("k")).select("h", "uid", "c", "els")
-    return narrow(arrow(dealt_lists(full, ["uid", "c", "els"], chunk), compare, "a long, b long"), "late-links")
+    return narrow(arrow(gathered(dealt_lists(rows, "uid", chunk).join(whole, F.col("uid") == F.col("k")), ["uid", "c", "els"]), compare, "a long, b long"), "late-links")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -370,17 +387,18 @@ def classes(base: DataFrame, key: str, text: str, length: int = WORDS, similarit
     placed = sets.select("uid", "n", "bits").join(inside.select(F.col("uid").alias("__u"), F.col("gid").alias("of")), F.col("uid") == F.col("__u"), "left").join(found, F.col("uid") == F.col("id"), "left")
     placed = stage(placed.select("uid", F.coalesce("of", "uid").alias("gid"), F.coalesce("component", "uid").alias("c"), "n", "bits"), "placed")
     # Whole prefixes: the lists that still hold more than one component.
-    spread = placed.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")).withColumnRenamed("gid", "__gid")
+    spread = placed.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> gid or high <> gid").withColumnRenamed("gid", "__gid")
     index = F.col("n") - F.ceil(F.col("n") * (2 * p) / (p + q)) + 1
-    posts = groups.join(spread, F.col("gid") == F.col("__gid")).select("gid", "low", "high", index.alias("index"), F.posexplode("prefix").alias("pos", "h"))
+    posts = groups.join(bounded(narrow(spread, "linked-groups"), BROADCAST_DOCS), F.col("gid") == F.col("__gid"), "left")
+    posts = posts.select("gid", F.coalesce("low", "gid").alias("low"), F.coalesce("high", "gid").alias("high"), index.alias("index"), F.posexplode("prefix").alias("pos", "h"))
     posts = posts.select("h", "gid", "low", "high", (F.col("pos") < F.col("index")).alias("first"))
     each = max(1, placed.count() // sample)
     seen = groups.where(F.pmod(F.xxhash64("gid"), F.lit(each)) == 0).select(F.explode("prefix").alias("h")).groupBy("h").count()
     common = narrow(seen.where(F.col("count") >= hot).orderBy(F.desc("count"), "h").limit(sample).select("h"), "hot-elements")
-    lists = open_lists(posts, common, held)
-    near = lists.join(placed, "gid").select("h", "uid", "c", "n", "bits")
-    mixed = placed.join(spread.where("low <> high"), F.col("gid") == F.col("__gid")).select(F.col("gid").alias("h"), "uid", "c", "n", "bits")
-    left = narrow(meet(near.unionByName(mixed), similarity, chunk), "lists-left")
+    lists = narrow(open_lists(posts, common, held), "open-lists")
+    every = lists.groupBy(F.col("gid").alias("__gid")).agg(F.collect_list("h").alias("all"))
+    payload = placed.join(every, F.col("gid") == F.col("__gid")).select("uid", "c", "n", "bits", "all")
+    left = narrow(meet(lists.join(placed.select("uid", "gid", "n"), "gid").select("h", "uid", "n"), payload, similarity, chunk), "lists-left")
     if left.limit(1).count():
         found = components(links.unionByName(link_lists(left, sets, docs, length, similarity, chunk)))
     named = sets.select("uid", "s1", "s2", "n", "none", "least").join(found, F.col("uid") == F.col("id"), "left").withColumn("c", F.coalesce("component", "uid")).drop("id", "component")
