@@ -262,7 +262,7 @@ def open_lists(posts: DataFrame, hot: DataFrame, held: int = LIST_ROWS) -> DataF
     small = F.broadcast(hot.select(F.col("h").alias("__h")))
     most = posts.join(small, F.col("h") == F.col("__h"), "left_anti").repartition("h").sortWithinPartitions("h")
     rest = posts.join(small, F.col("h") == F.col("__h"), "left_semi").select("*", *[F.lit(v).cast("long").alias(k) for k, v in zip(names[5:], (-1, 0, 0), strict=True)])
-    found = narrow(arrow(most, run, "h long, gid long, low long, high long, first boolean, c long, f1 long, f2 long").unionByName(rest), "lists")
+    found = stage(arrow(most, run, "h long, gid long, low long, high long, first boolean, c long, f1 long, f2 long").unionByName(rest), "lists")
     long_ = found.where("c < 0")
     sums = long_.groupBy(F.col("h").alias("__h")).agg(F.min("low").alias("__low"), F.max("high").alias("__high"), F.max("first").alias("__first"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("f1"), F.bit_xor(F.xxhash64("gid", F.lit(2))).alias("f2"))
     sums = sums.where(open_)
