@@ -90,8 +90,9 @@ def mix_sources(df: DataFrame, source: str = "source", key: str = "doc_id", text
     small = targets.select(F.col("source").alias("__source"), "source_size", "target", "__rows")
     few = targets.count() <= BROADCAST_SOURCES
     joined = sized.join(F.broadcast(small) if few else small, F.col(source).eqNullSafe(F.col("__source")))
-    mixed = F.xxhash64(F.col(key), F.lit(seed))
-    strata = joined.withColumn("__mix", F.xxhash64(F.col(key), F.lit(seed + 1))).withColumn("__stratum", F.pmod(mixed, F.ceil(F.col("__rows") / stratum)))
+    # By key and text, so that null or repeated keys do not share a stratum.
+    mixed = F.xxhash64(F.col(key), text_of(text), F.lit(seed))
+    strata = joined.withColumn("__mix", F.xxhash64(F.col(key), text_of(text), F.lit(seed + 1))).withColumn("__stratum", F.pmod(mixed, F.ceil(F.col("__rows") / stratum)))
     group = W.partitionBy("__source", "__stratum")
     running = group.orderBy("__mix", F.col(key), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
