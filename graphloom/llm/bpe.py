@@ -1,9 +1,11 @@
 """BPE encoding and decoding with forced boundaries.
 
 A pair of neighbouring bytes that occurs inside no token of the vocabulary can
-never be merged, so a text may be cut there. Where such a pair also is a border
-of pre-tokens (a byte of a word, then ASCII white space), the parts are encoded
-apart, each distinct part once, and the ids are put together.
+never be merged, so a text may be cut there. Texts are cut where such a pair also
+is a border of pre-tokens (a character that is no white space, then ASCII white
+space), and long runs of ideographs, which are one pre-token, between two
+ideographs whose touching bytes are such a pair. The parts are encoded apart,
+each distinct part once, and the ids are put together.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from graphloom.llm.token_counts import vocabulary
 VOCABULARY = "byte_bpe_50k.json"
 BATCH_BYTES = 1 << 20
 REMEMBERED = 250_000
-#: White space outside the six ASCII ones, and control characters that some tables hold for white space.
-_ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: White space outside the six ASCII ones, and control characters that some tables hold for white space: with what follows it may be one pre-token.
+_ODD = (rb"[\x1c-\x1f]", rb"\xc2[\x85\xa0]", rb"\xe1\x9a\x80", rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", rb"\xe2\x81\x9f", rb"\xe3\x80\x80")
+#: First bytes of ideographs U+5000 to U+8FFF, all letters of three bytes; parts longer than this are cut between them.
+_IDEOGRAPHS = range(0xE5, 0xE9)
+LONG_PART = 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,17 +64,25 @@ class ForcedBpe:
             t = np.frombuffer(token, np.uint8)
             joined[t[:-1], t[1:]] = True
         self.forced = ~joined
-        # A part ends where a byte outside white space meets ASCII white space, if that pair is forced.
+        # A part ends where a character outside white space meets ASCII white space, if that pair is forced.
         space = [9, 10, 11, 12, 13, 32]
+        some = lambda found: b"[" + b"".join(rb"\x%02x" % x for x in found) + b"]"
         open_ = [b for b in range(256) if b not in space and joined[b, space].any()]
-        stays = b"[" + b"".join(rb"\x%02x" % b for b in open_) + b"]" if open_ else rb"(?!)"
-        self.part = re.compile(rb"\s*\S+(?:(?<=" + stays + rb")\s+\S*)*|\s+")
+        stays = b"|".join(rb"(?<=" + x + b")" for x in [*([some(open_)] if open_ else []), *_ODD])
+        self.part = re.compile(rb"\s*\S+(?:(?:" + stays + rb")\s+\S*)*|\s+")
+        # Between two ideographs: last byte of the one, first byte of the other.
+        last = {lead: [b for b in range(0x80, 0xC0) if self.forced[b, lead]] for lead in _IDEOGRAPHS}
+        kind = some(_IDEOGRAPHS)
+        self.inner = re.compile(b"|".join(rb"(?<=" + kind + rb"[\x80-\xbf]" + some(ends) + rb")(?=\x%02x)" % lead for lead, ends in last.items() if ends) or rb"(?!)")
         self.known: dict[bytes, bytes] = {}
         self.room = remembered
 
     def parts(self, text: bytes) -> list[bytes]:
-        """``text`` cut at forced boundaries; whole if it has white space outside ASCII."""
-        return self.part.findall(text) if not _ODD.search(text) else [text]
+        """``text`` cut at forced boundaries."""
+        found = self.part.findall(text)
+        if max(map(len, found), default=0) <= LONG_PART:
+            return found
+        return [x for p in found for x in (self.inner.split(p) if len(p) > LONG_PART else (p,))]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""

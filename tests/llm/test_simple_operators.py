@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,19 @@ def test_forced_pairs_are_in_no_token():
     assert coder.decode(struct.pack("<I", coder.tokenizer.encode("é").ids[0])) in (b"\xc3\xa9", "\ufffd".encode())
 
 
+def test_forced_boundaries_against_the_library():
+    """Any mix of white space, ideographs and marks gives the library's ids; long runs of ideographs are cut too."""
+    coder, t = bpe.coder_of(token_counts.vocabulary(bpe.VOCABULARY)), library("byte_bpe_50k.json")
+    rng = np.random.default_rng(8)
+    bits = ["a", "it's", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2028", "\x1c", "\x85", "é", "語", "漢字仮名", "の", "・", "日本語" * 9, "龍契士", "中文字符" * 20, "한국", "7", "!?", "'", "😀", "\u0301", "<|endoftext|>", "word"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 25))) for _ in range(4000)]
+    ids = coder.encode([x.encode() for x in texts])
+    for x, got, want in zip(texts, ids, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, x
+    parts = coder.parts(("漢字" * 500 + "\u00a0 b c").encode())
+    assert max(map(len, parts)) < 200 and b"".join(parts).decode() == "漢字" * 500 + "\u00a0 b c" and parts[-1] == b" c"
+
+
 def test_sharding(spark, odd, docs):
     for df in (odd, docs):
         rows = sharding.shard_records(df, bucket_rows=4, bucket_bytes=20_000).collect()
