@@ -58,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
     add("change-impact", ("ref", {"nargs": "?", "default": ""}))
     add("export-dot", ("symbol", {"nargs": "?"}), depth(2))
     add("search-semantic", ("query", {}), ("--top", {"type": int, "default": 10}))
-    add("embed", ("out", {}))
+    add("embed", ("out", {"nargs": "?"}))
     add("status")
     add("files")
     add("watch", path)
@@ -86,7 +86,7 @@ def run(spark: SparkSession, argv: list[str]) -> Any:
     if a.command == "serve":
         return tools.serve()
     if a.command == "search":
-        rows = fts.search(g.nodes, a.query, a.limit).collect()
+        rows = fts.search(g.nodes, a.query, a.limit, tools.store.postings()).collect()
         sizes = g.files.where(F.col("path").isin(*{r["file_path"] for r in rows})).agg(F.sum("size")).first()[0] if rows else 0
         lines = [" ".join([n["kind"], n["name"], "@", f"{n['file']}:{n['line']}", n.get("signature", "")]).rstrip() for n in map(node_dict, rows)]
         text = "\n".join(lines)
@@ -103,8 +103,12 @@ def run(spark: SparkSession, argv: list[str]) -> Any:
     if a.command == "search-semantic":
         return tools.call("search_semantic", query=a.query, limit=a.top)
     if a.command == "embed":
-        semantic.embed(g.nodes).write.mode("overwrite").parquet(a.out)
-        return {"embedded": g.nodes.count()}
+        vectors = semantic.embed(g.nodes)
+        if a.out:
+            vectors.write.mode("overwrite").parquet(a.out)
+            return {"embedded": spark.read.parquet(a.out).count()}
+        tools.store.save_embeddings(vectors)
+        return {"embedded": semantic.counts(g.nodes, tools.store.embeddings()).first()["n_embedded"]}
     if a.command in ("path", "impact-chain", "export-dot"):
         names = [x for x in (getattr(a, k, None) for k in ("start", "end", "symbol")) if x]
         found = [tools._start(n) for n in names]

@@ -169,17 +169,17 @@ class _Scanner:
 
     def docstring(self, at: int) -> str:
         """The block comment, or run of line comments, that ends just above."""
-        line, lines = self.place(at)[0], []
+        line, lines, edge = self.place(at)[0], [], at
         for c in reversed([c for c in self.comments if c.end <= at]):
             first, last = self.place(c.at)[0], self.place(c.end)[0]
-            if last < line - 1 or last > line or (lines and c.text.startswith("/*")):
+            if last < line - 1 or last > line or (lines and c.text.startswith("/*")) or self.content[c.end : edge].strip():
                 break
             if c.text.startswith("/*"):
                 return "\n".join(x.strip().lstrip("*").strip() for x in c.text[2:-2].splitlines()).strip()
             if self.content[self.starts[first - 1] : c.at].strip():
                 break
             lines.append(c.text.lstrip("/").strip())
-            line = first
+            line, edge = first, c.at
         return "\n".join(reversed(lines))
 
     def add(self, kind: int, name: str, scope: list[str], first: int, last: int, signature: str = "", **more) -> int:

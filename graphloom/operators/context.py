@@ -9,7 +9,7 @@ from graphloom.functions.text import partner_file
 from graphloom.operators.fts import search
 from graphloom.operators.lookup import find_by_name, pick_best
 from graphloom.operators.traverse import distances, from_ids, oriented
-from graphloom.schema import CLASS, FUNCTION, METHOD, STRUCT
+from graphloom.schema import CALLS, CLASS, FUNCTION, METHOD, STRUCT
 
 
 def find_symbol(nodes: DataFrame, symbol: str) -> DataFrame:
@@ -40,16 +40,33 @@ def around(nodes: DataFrame, edges: DataFrame, starts: DataFrame, limit: int = 1
     return out
 
 
-def build_context(nodes: DataFrame, edges: DataFrame, symbol: str, limit: int = 10, max_depth: int = 3) -> tuple[dict, DataFrame] | None:
-    """The symbol as a dict and the rows around it; of a class the rows around its methods, and the methods. None if nothing is found."""
+def edges_around(edges: DataFrame, starts: DataFrame, rows: DataFrame, max_depth: int = 3) -> DataFrame:
+    """Call edges of the walks to the callers and callees among ``rows(id, role)``: those between rows of a role, or a row and a start; each edge once."""
+    ids = starts.select(F.col("source").alias("id"))
+    calls = edges.where(F.col("kind") == CALLS).select("id", "source_id", "target_id")
+    out = None
+    for role in ("caller", "callee"):
+        ends = rows.where(F.col("role") == role).select("id").unionByName(ids).distinct()
+        a, b = (ends.select(F.col("id").alias(c)) for c in ("a_", "b_"))
+        found = calls.join(a, F.col("source_id") == F.col("a_")).join(b, F.col("target_id") == F.col("b_")).select("id", "source_id", "target_id")
+        out = found if out is None else out.unionByName(found)
+    return out.dropDuplicates(["id"])
+
+
+def build_context(nodes: DataFrame, edges: DataFrame, symbol: str, limit: int = 10, max_depth: int = 3) -> tuple[dict, DataFrame, DataFrame] | None:
+    """The symbol as a dict, the rows around it and the edges between them; of a class the rows around its methods, and the methods. None if nothing is found."""
     found = find_symbol(nodes, symbol).first()
     if found is None:
         return None
     spark = nodes.sparkSession
     if found["kind"] in (CLASS, STRUCT):
         methods = methods_of(nodes, spark.createDataFrame([(found["id"], found["name"], found["file_path"])], "id long, name string, file_path string"))
-        rows = around(nodes, edges, methods.select(F.col("id").alias("source")).distinct(), limit, max_depth)
+        starts = methods.select(F.col("id").alias("source")).distinct()
+        rows = around(nodes, edges, starts, limit, max_depth)
+        links = edges_around(edges, starts, rows, max_depth)
         rows = rows.unionByName(methods.select("id", "name", F.lit(0).alias("depth"), F.lit("method").alias("role")))
     else:
-        rows = around(nodes, edges, from_ids(edges, found["id"]), limit, max_depth)
-    return found.asDict(), rows
+        starts = from_ids(edges, found["id"])
+        rows = around(nodes, edges, starts, limit, max_depth)
+        links = edges_around(edges, starts, rows, max_depth)
+    return found.asDict(), rows, links

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import search_tokens
 
 FIELDS = ("name", "qualified_name", "signature", "docstring", "file_path")
+POSTINGS = "id long, field int, pos int, token string"
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 # How kinds rank among equal hits.
 FIRST_KINDS, SECOND_KINDS = (1, 2, 3, 4, 5, 9), (7, 8, 6, 12)
@@ -67,7 +68,8 @@ def bm25(index: DataFrame, query: str, total: int | None = None) -> DataFrame:
 
 def search(nodes: DataFrame, query: str, limit: int = 20, index: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """Best nodes for a query: three times the limit by score, then by rank of their kind, cut to the limit."""
-    hits = bm25(index if index is not None else postings(nodes), query, total if total is not None else nodes.count())
+    index = index if index is not None else postings(nodes)
+    hits = bm25(index, query, total if total is not None else nodes.count())
     top = hits.orderBy(F.round("score", 9), "id").limit(3 * limit).withColumnRenamed("id", "h_")
     rank = F.when(F.col("kind").isin(*FIRST_KINDS), 0).when(F.col("kind").isin(*SECOND_KINDS), 1).otherwise(2)
     return nodes.join(top, F.col("id") == F.col("h_")).withColumn("kind_rank", rank).drop("h_").orderBy("kind_rank", "id").limit(limit)

@@ -25,6 +25,11 @@ def nodes_by_file(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.where(F.col("file_path") == path)
 
 
+def file_by_path(files: DataFrame, path: str) -> DataFrame:
+    """The record of a file; no row if it has none."""
+    return files.where(F.col("path") == path)
+
+
 def edges_from(edges: DataFrame, id_: int, kind: int | None = None) -> DataFrame:
     found = edges.where(F.col("source_id") == id_)
     return found if kind is None else found.where(F.col("kind") == kind)

@@ -68,6 +68,21 @@ def nearest(embeddings: DataFrame, query: Sequence[float] | Column | DataFrame,
     return rows.select(F.col(id_), F.round(cosine(F.col(vector), q), 4).alias("similarity")).orderBy(F.desc("similarity"), id_).limit(top)
 
 
+def missing(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Nodes without a vector."""
+    return nodes.join(embeddings.select(F.col("node_id").alias("__n")), F.col("id") == F.col("__n"), "left_anti")
+
+
+def current(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Vectors of nodes that exist."""
+    return embeddings.join(nodes.select(F.col("id").alias("__n")), F.col("node_id") == F.col("__n"), "left_semi")
+
+
+def counts(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """One row: nodes, and vectors of nodes that exist."""
+    return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(current(nodes, embeddings).agg(F.count("*").alias("n_embedded")))
+
+
 def search_semantic(nodes: DataFrame, embeddings: DataFrame, text: str, top: int = 10, encoder: Callable = hashing_encoder) -> DataFrame:
     """Nodes nearest to a text, with ``similarity``."""
     hits = nearest(embeddings, encoder([text])[0], top)

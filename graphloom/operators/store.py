@@ -1,8 +1,10 @@
 """Versioned snapshots of a code graph, and the changes that make a new one.
 
 A snapshot is a folder of Parquet tables; a small file names the current one and
-is replaced by a rename, so readers see the old or the new whole. Old snapshots
-stay readable until they are dropped.
+is overwritten by a rename, so readers see the old or the new whole. A writer
+first takes the number of its snapshot, so two writers never share a folder. Old
+snapshots stay readable until they are dropped. The postings of the nodes are kept
+beside them; those of nodes that stay are taken over.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom import schema
+from graphloom.operators import fts
 
 TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "files": schema.FILES, "refs": schema.REFS}
 
@@ -63,9 +66,47 @@ class Store:
             return Graph.empty(self.spark)
         return Graph(**{name: self.spark.read.schema(ddl).parquet(f"{self.root}/v{v}/{name}") for name, ddl in TABLES.items()})
 
+    def postings(self, version: int | None = None) -> DataFrame | None:
+        """The stored full-text index of a snapshot; None before the first."""
+        v = self.version() if version is None else version
+        return self.spark.read.schema(fts.POSTINGS).parquet(f"{self.root}/v{v}/postings") if v else None
+
+    def embeddings(self) -> DataFrame:
+        """The stored vectors, of whatever nodes have one."""
+        fs, p = self._fs(f"{self.root}/embeddings")
+        found = self.spark.read.schema(schema.EMBEDDINGS).parquet(f"{self.root}/embeddings") if fs.exists(p) else self.spark.createDataFrame([], schema.EMBEDDINGS)
+        return found
+
+    def save_embeddings(self, vectors: DataFrame) -> None:
+        """Replaces the stored vectors."""
+        vectors.select("node_id", "embedding").write.mode("overwrite").parquet(f"{self.root}/embeddings")
+
+    def _take(self, v: int) -> int:
+        """The first free number from ``v`` on, taken for this writer alone."""
+        while True:
+            fs, p = self._fs(f"{self.root}/v{v}.taken")
+            try:
+                if fs.createNewFile(p):
+                    return v
+            except Exception as e:  # noqa: BLE001  some stores raise where others answer false
+                if not fs.exists(p):
+                    raise OSError(f"{p} could not be made") from e
+            v += 1
+
+    def _refreshed(self, old: int, new: int) -> DataFrame:
+        """Postings of snapshot ``new``: those of nodes that ``old`` has are taken over."""
+        nodes = self.load(new).nodes
+        if not old:
+            return fts.postings(nodes)
+        had = self.load(old).nodes.select(F.col("id").alias("__i"))
+        stays = nodes.select(F.col("id").alias("__n"))
+        kept = self.postings(old).join(stays, F.col("id") == F.col("__n"), "left_semi")
+        return kept.unionByName(fts.postings(nodes.join(had, F.col("id") == F.col("__i"), "left_anti")))
+
     def save(self, graph: Graph) -> int:
         """Write a new snapshot, check that its edges have their nodes, then make it current. Edges are kept in order of their source."""
-        v = self.version() + 1
+        before = self.version()
+        v = self._take(before + 1)
         for name, ddl in TABLES.items():
             names = [f.split()[0] for f in ddl.split(", ")]
             df = getattr(graph, name).select(*names)
@@ -74,15 +115,17 @@ class Store:
             df.write.mode("overwrite").parquet(f"{self.root}/v{v}/{name}")
         saved = self.load(v)
         check_edges(saved.edges, saved.nodes)
+        self._refreshed(before, v).write.mode("overwrite").parquet(f"{self.root}/v{v}/postings")
         fs, tmp = self._fs(f"{self.root}/CURRENT.{v}")
         stream = fs.create(tmp, True)
         stream.write(bytearray(str(v).encode()))
         stream.close()
         _, final = self._fs(f"{self.root}/CURRENT")
-        if fs.exists(final):
-            fs.delete(final, False)
-        if not fs.rename(tmp, final):
-            raise OSError(f"{self.root}/CURRENT could not be replaced")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        kind = getattr(hadoop, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, final, options)
         return v
 
 

@@ -6,6 +6,7 @@ import json
 import sys
 from collections import OrderedDict
 from collections.abc import Callable
+from time import monotonic
 from typing import IO, Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,9 @@ from graphloom.sources.diff import git_diff, hunks_of
 
 # Codes of the request protocol.
 PARSE_ERROR, UNKNOWN_METHOD = -32700, -32601
-#: Answers that are kept.
-CACHED = 100
+#: Answers that are kept, and for how many seconds; those of the others depend on more than the store.
+CACHED, CACHED_S = 100, 30.0
+UNCACHED = ("search_semantic", "change_impact")
 
 
 def node_dict(row: Any, detail: bool = False) -> dict:
@@ -58,17 +60,20 @@ class Tools:
         """The answer of a tool; KeyError for an unknown one."""
         tool = self.table[name][0]
         key = (name, json.dumps(args, sort_keys=True), self.store.version())
-        if name not in ("search_semantic", "change_impact") and key in self.cache:
+        if name in UNCACHED:
+            return tool(**args)
+        if key in self.cache and monotonic() - self.cache[key][0] < CACHED_S:
             self.cache.move_to_end(key)
-            return self.cache[key]
+            return self.cache[key][1]
         answer = tool(**args)
-        self.cache[key] = answer
+        self.cache[key] = (monotonic(), answer)
+        self.cache.move_to_end(key)
         while len(self.cache) > CACHED:
             self.cache.popitem(last=False)
         return answer
 
     def search(self, query: str, limit: int = 20) -> dict:
-        return {"results": [node_dict(r) for r in fts.search(self.graph().nodes, query, limit).collect()]}
+        return {"results": [node_dict(r) for r in fts.search(self.graph().nodes, query, limit, self.store.postings()).collect()]}
 
     def _start(self, symbol: str) -> Any:
         return pick_best(find_by_name(self.graph().nodes, symbol, 5)).first()
@@ -99,8 +104,9 @@ class Tools:
             return {"error": f"Symbol not found: {symbol}"}
         ids = found[1].select("id", "role").collect()
         nodes = {r["id"]: r for r in g.nodes.where(F.col("id").isin(*{r["id"] for r in ids})).collect()} if ids else {}
+        edges = [{"source": r["source_id"], "target": r["target_id"], "kind": "calls"} for r in found[2].orderBy("id").collect()]
         roles = {"caller": "callers", "callee": "callees", "method": "methods"}
-        out: dict[str, Any] = {"symbol": node_dict(found[0]), "callers": [], "callees": []}
+        out: dict[str, Any] = {"symbol": node_dict(found[0]), "callers": [], "callees": [], "edges": edges}
         for r in ids:
             out.setdefault(roles[r["role"]], []).append(node_dict(nodes[r["id"]]))
         return out
@@ -118,7 +124,10 @@ class Tools:
 
     def search_semantic(self, query: str, limit: int = 10) -> dict:
         nodes = self.graph().nodes
-        rows = semantic.search_semantic(nodes, semantic.embed(nodes, self.encoder), query, limit, self.encoder).collect()
+        stored = self.store.embeddings()
+        # Only nodes that have come since the vectors were stored are encoded now.
+        vectors = semantic.current(nodes, stored).unionByName(semantic.embed(semantic.missing(nodes, stored), self.encoder))
+        rows = semantic.search_semantic(nodes, vectors, query, limit, self.encoder).collect()
         return {"results": [node_dict(r) | {"similarity": r["similarity"]} for r in rows]}
 
     def change_impact(self, ref: str = "", diff: str | None = None) -> dict:

@@ -128,14 +128,14 @@ def test_resolution_prefers_near_places(spark):
 def test_context(spark):
     n = nodes_of(spark, "caller", "target", "callee")
     e = edges_of(spark, [(1, 2), (2, 3)])
-    found, rows = context.build_context(n, e, "target")
+    found, rows, _ = context.build_context(n, e, "target")
     assert found["name"] == "target" and {(r.name, r.role) for r in rows.collect()} == {("caller", "caller"), ("callee", "callee")}
     assert context.build_context(n, e, "zzz") is None
 
 
 def test_class_context_covers_the_partner_file(spark):
     n = spark.createDataFrame([(1, 3, "C", "C", "./c.h", 1, 9, "", ""), (2, 1, "C::run", "C::run", "./c.cpp", 1, 2, "", ""), (3, 1, "other", "other", "./c.cpp", 3, 4, "", ""), (4, 1, "user", "user", "./u.cpp", 1, 2, "", "")], NODE)
-    _, rows = context.build_context(n, edges_of(spark, [(4, 2), (2, 3)]), "C")
+    _, rows, _ = context.build_context(n, edges_of(spark, [(4, 2), (2, 3)]), "C")
     assert {(r.name, r.role) for r in rows.collect()} == {("C::run", "method"), ("user", "caller"), ("other", "callee")}
 
 
