@@ -194,6 +194,34 @@ def test_url_parts_and_rules(spark):
 
 
 def test_reputation_shrinks(spark):
-    rows = [("bad.example.org", 1)] * 40 + [("good.example.org", 0)] * 40 + [("rare.example.org", 1)] + [("new.example.org", None)]
+    rows = [(f"bad{i}.example.org", int(k < 27)) for i in range(6) for k in range(30)] + [(f"good{i}.other.org", int(k < 2)) for i in range(6) for k in range(30)]
+    rows += [("rare.example.org", 1), ("new.example.org", None), ("new.other.org", None), ("sure.other.org", None), *[("sure.other.org", 1)] * 60]
     got = {r.host: r for r in urls.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
-    assert got["bad.example.org"].bound > 0.6 > got["rare.example.org"].rate > got["new.example.org"].rate > got["good.example.org"].rate
+    assert got["bad0.example.org"].bound > 0.5 > got["good0.other.org"].bound and got["new.example.org"].rate > 0.6 > got["new.other.org"].rate
+    assert got["sure.other.org"].bound > 0.5 and got["bad0.example.org"].rate < 1 and got["rare.example.org"].n == 1
+    # a host's own outcomes are no part of its prior: alone, it is shrunk to the rest only
+    alone = {r.host: r for r in urls.reputation(spark.createDataFrame([("a.org", 1)] * 5 + [("b.com", 0)] * 5, "host string, bad int")).collect()}
+    assert 0.5 < alone["a.org"].rate < 1 and 0 < alone["b.com"].rate < 0.5
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.com", "com", ""]
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urls.domain_of(F.col("h")).alias("d"), urls.suffix_of(F.col("h")).alias("s")).collect()
+    assert [(r.d, r.s) for r in rows] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "uk"), ("y.com", "com"), ("com", "com"), ("", "")]
+
+
+def test_low_quantile(spark):
+    """Against counts of draws."""
+    rng = np.random.default_rng(0)
+    cases = [(3.0, 2.0), (30.0, 12.0), (1.0, 1.0), (2.0, 40.0), (500.0, 480.0)]
+    df = spark.createDataFrame(cases, "a double, b double").select(urls.low_quantile(F.col("a"), F.col("b")).alias("q"))
+    for (a, b), r in zip(cases, df.collect(), strict=True):
+        assert abs((rng.beta(a, b, 200_000) < r.q).mean() - (1 - urls.CERTAINTY)) < 0.02
+
+
+def test_urls_repeated_and_long(spark):
+    long = "http://h.example.com/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://h.example.com/a"), (3, "http://b.example.com/a")], "page_id long, url string")
+    labelled = spark.createDataFrame([(long, 1)] * 50 + [("http://b.example.com/q", 0)] * 50, "url string, bad int")
+    got = sorted((r.page_id, r.verdict, len(r.path)) for r in urls.filter_urls(pages, labelled).collect())
+    assert got == [(1, "block", 200_001), (1, "block", 200_001), (2, "block", 2), (3, "allow", 2)]
