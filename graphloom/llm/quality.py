@@ -254,8 +254,9 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     import_path(df.sparkSession)
     bounded_batches(df.sparkSession)
-    # Only the text goes to Python, and only two numbers come back.
-    base = data.select(*[F.col(f"`{c}`") for c in columns], F.col(host).alias("__host"), F.col(path).alias("__path"), F.arrow_udf(score, "q double, t double")(F.col(text)).alias("__e"))
+    # Only the text goes to Python, and only two numbers come back. Called non-deterministic, it is not copied into filters and so runs once a row.
+    evidence = F.arrow_udf(score, "q double, t double").asNondeterministic()
+    base = data.select(*[F.col(f"`{c}`") for c in columns], F.col(host).alias("__host"), F.col(path).alias("__path"), evidence(F.col(text)).alias("__e"))
     joined = base.join(F.broadcast(small) if sites.count() <= BROADCAST_SITES else small, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")))
     odds = lambda e, p: 1 / (1 + F.exp(-(F.col(e) + F.log(F.col(p) / (1 - F.col(p))))))
     return joined.select(
