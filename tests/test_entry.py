@@ -13,7 +13,7 @@ def test_entry(spark):
     assert entry.oracle_sql().keys() <= entry.queries().keys() and len(QUERIES) > 50
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE) & {"callees_d3", "resolve_refs", "sccs_users", "fts_bm25", "change_impact", "parse_hunks", "find_by_name_fuzzy", "dot_lines", "context_class"}))
+@pytest.mark.parametrize("name", sorted(set(ORACLE) & {"callees_d3", "resolve_refs", "sccs_users", "fts_bm25", "change_impact", "parse_hunks", "find_by_name_fuzzy", "dot_lines", "context_class", "extract_symbols", "extract_calls", "index_after_edit", "impact_walk", "reverse_path_nodes", "fts_search", "snapshots", "embedding_counts", "context_edges", "insert_edges_refused"}))
 def test_sql_twin(spark, small, name):
     db = duckdb.connect()
     for t in TABLES:
