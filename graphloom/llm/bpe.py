@@ -80,7 +80,7 @@ class ForcedBpe:
     def parts(self, text: bytes) -> list[bytes]:
         """``text`` cut at forced boundaries."""
         found = self.part.findall(text)
-        if max(map(len, found), default=0) <= LONG_PART:
+        if text.isascii() or max(map(len, found), default=0) <= LONG_PART:
             return found
         return [x for p in found for x in (self.inner.split(p) if len(p) > LONG_PART else (p,))]
 
