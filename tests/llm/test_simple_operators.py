@@ -111,6 +111,27 @@ def test_sharding(spark, odd, docs):
     assert sharding.shard_records(odd.limit(0)).collect() == []
 
 
+def test_sharding_deals_full_buckets(spark, docs):
+    """A row that is repeated very often fills parts of the usual size; slots keep their law and ignore shuffle partitions."""
+    hot = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same").alias("text"), F.col("id").alias("n"))
+    df = docs.select("doc_id", "text", F.lit(-1).cast("long").alias("n")).unionByName(hot)
+    rows = sharding.shard_records(df, shards=3, bucket_rows=50).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted(r.n for r in rows if r.n >= 0) == list(range(3000)) and len({r.shard for r in rows if r.doc_id == 5}) == 1
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = set()
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.add(frozenset((r.doc_id, r.slot) for r in sharding.shard_records(docs, shards=3, bucket_rows=20).collect()))
+        assert len(got) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 def test_shards_are_mixed(docs):
     rows = sharding.shard_records(docs, shards=2).orderBy("shard", "slot").collect()
     assert [r.doc_id for r in rows if r.shard == 0] != sorted(r.doc_id for r in rows if r.shard == 0)
