@@ -1,10 +1,11 @@
-"""Full-text search over named columns: postings, implicit AND of terms and phrases, BM25."""
+"""Full-text search over named columns: postings, terms, phrases and operators, BM25."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import search_tokens
@@ -12,6 +13,8 @@ from graphloom.functions.text import search_tokens
 FIELDS = ("name", "qualified_name", "signature", "docstring", "file_path")
 POSTINGS = "id long, field int, pos int, token string"
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+# Operators of a query, the loosest first.
+LOOSEST = ("OR", "AND", "NOT")
 # How kinds rank among equal hits.
 FIRST_KINDS, SECOND_KINDS = (1, 2, 3, 4, 5, 9), (7, 8, 6, 12)
 
@@ -32,21 +35,71 @@ def refresh_postings(index: DataFrame, changed: DataFrame, fields: tuple[str, ..
     return index.join(gone, F.col("id") == F.col("__g"), "left_anti").unionByName(postings(changed, fields, id_))
 
 
-def parse_query(query: str) -> list[list[str]]:
-    """Phrases of a query. Words and spaces alone are terms that must all occur; anything else is one phrase. There are no operators."""
+class Bad(ValueError):
+    """A query whose operators have nothing to join."""
+
+
+def parse_query(query: str) -> tuple[list[list[str]], tuple | None]:
+    """Phrases of a query, and how they are joined: ``("AND" | "OR" | "NOT", left, right)``, ``("IS", phrase)``, or None for what never holds.
+
+    Words and spaces alone are terms; terms beside each other must all occur, which binds most tightly, then come NOT,
+    AND and OR in capitals, from left to right. A query with any other character is one phrase. A term without a letter or
+    digit is left out beside other terms and holds nowhere else. An operator without a term on each side finds nothing.
+    """
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
-    if not words(query):
-        return []
-    if re.fullmatch(r"[\w\s]*", query):
-        return [w for term in query.split() if (w := words(term))]
-    return [words(query)]
+    phrases: list[list[str]] = []
+
+    def leaf(term: str) -> tuple | None:
+        if not (found := words(term)):
+            return None
+        phrases.append(found)
+        return ("IS", len(phrases) - 1)
+
+    if not re.fullmatch(r"[\w\s]*", query, re.ASCII) or not words(query):
+        return phrases, leaf(query)
+    rest = query.split()
+
+    def terms() -> tuple | None:
+        if not rest or rest[0] in LOOSEST:
+            raise Bad(query)
+        tree = None
+        while rest and rest[0] not in LOOSEST:
+            one = leaf(rest.pop(0))
+            tree = ("AND", tree, one) if tree and one else tree or one
+        return tree
+
+    def joined(level: int) -> tuple | None:
+        if level == len(LOOSEST):
+            return terms()
+        tree = joined(level + 1)
+        while rest and rest[0] == LOOSEST[level]:
+            rest.pop(0)
+            tree = (LOOSEST[level], tree, joined(level + 1))
+        return tree
+
+    try:
+        return phrases, joined(0)
+    except Bad:
+        return [], None
+
+
+def score_of(tree: tuple | None, part: Callable[[int], Column]) -> Column:
+    """Sum of the parts of the phrases that make ``tree`` hold; null where it does not."""
+    if tree is None:
+        return F.lit(None).cast("double")
+    if tree[0] == "IS":
+        return part(tree[1])
+    left, right = (score_of(t, part) for t in tree[1:])
+    if tree[0] == "AND":
+        return left + right
+    return F.coalesce(left + right, left, right) if tree[0] == "OR" else F.when(right.isNull(), left)
 
 
 def bm25(index: DataFrame, query: str, total: int | None = None) -> DataFrame:
-    """``(id, score)`` of rows that hold every phrase; better is less. Lengths and counts run over all fields."""
-    phrases = parse_query(query)
+    """``(id, score)`` of rows that the query holds for; better is less. Lengths and counts run over all fields."""
+    phrases, tree = parse_query(query)
     spark = index.sparkSession
-    if not phrases:
+    if tree is None:
         return spark.createDataFrame([], "id long, score double")
     wanted = spark.createDataFrame([(p, k, t) for p, ts in enumerate(phrases) for k, t in enumerate(ts)], "phrase int, k int, q_token string")
     # folded as the index is
@@ -62,8 +115,9 @@ def bm25(index: DataFrame, query: str, total: int | None = None) -> DataFrame:
     scored = hits.join(F.broadcast(df), F.col("phrase") == F.col("d_")).join(lengths.withColumnRenamed("id", "l_"), F.col("id") == F.col("l_")).crossJoin(F.broadcast(corpus))
     idf = F.greatest(F.log((rows - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("tokens") / rows))
-    part = idf * F.col("tf") * (K1 + 1) / norm
-    return scored.groupBy("id").agg(F.count("*").alias("n"), (-F.sum(part)).alias("score")).where(F.col("n") == len(phrases)).select("id", "score")
+    part = -idf * F.col("tf") * (K1 + 1) / norm
+    parts = scored.groupBy("id").agg(*[F.max(F.when(F.col("phrase") == p, part)).alias(f"part_{p}") for p in range(len(phrases))])
+    return parts.select("id", score_of(tree, lambda p: F.col(f"part_{p}")).alias("score")).where("score IS NOT NULL")
 
 
 def search(nodes: DataFrame, query: str, limit: int = 20, index: DataFrame | None = None, total: int | None = None) -> DataFrame:

@@ -462,16 +462,19 @@ def fts_document_lengths(spark, d):
     return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_tokens"))
 
 
-def _bm25(phrases: list[list[str]]) -> str:
+def _bm25(phrases: list[list[str]], joined: str = "") -> str:
+    """SQL of a query whose phrases must all occur, or are joined by an expression over their parts ``p0``, ``p1``, ..."""
+    joined = joined or " + ".join(f"p{p}" for p in range(len(phrases)))
     hits = []
     for p, words in enumerate(phrases):
         joins = "".join(f" JOIN posts p{k} ON p{k}.id = p0.id AND p{k}.field = p0.field AND p{k}.pos = p0.pos + {k} AND p{k}.token = '{w}'" for k, w in enumerate(words) if k)
         hits.append(f"SELECT {p} AS phrase, p0.id, count(*) AS tf FROM posts p0{joins} WHERE p0.token = '{words[0]}' GROUP BY p0.id")
     return f"""WITH {_POST}, hits AS ({" UNION ALL ".join(hits)}), df AS (SELECT phrase, count(*) AS df FROM hits GROUP BY phrase),
 dl AS (SELECT id, count(*) AS dl FROM posts GROUP BY id), c AS (SELECT (SELECT count(*) FROM n) AS docs, sum(dl) AS tokens FROM dl),
-s AS (SELECT hits.id, count(*) AS k, -sum(greatest(ln((docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (tokens::DOUBLE / docs)))) AS score
-      FROM hits JOIN df USING (phrase) JOIN dl USING (id), c GROUP BY hits.id)
-SELECT id, round(score, 6) AS score FROM s WHERE k = {len(phrases)}"""
+w AS (SELECT hits.id, phrase, -greatest(ln((docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (tokens::DOUBLE / docs))) AS part
+      FROM hits JOIN df USING (phrase) JOIN dl USING (id), c),
+s AS (SELECT id, {", ".join(f"max(part) FILTER (WHERE phrase = {p}) AS p{p}" for p in range(len(phrases)))} FROM w GROUP BY id)
+SELECT id, round(score, 6) AS score FROM (SELECT id, {joined} AS score FROM s) z WHERE score IS NOT NULL"""
 
 
 def _scores(spark, d, text: str) -> DataFrame:
@@ -503,6 +506,11 @@ def fts_bm25(spark, d):
     return _scores(spark, d, "red gear")
 
 
+@query(_bm25([["red"], ["gear"], ["gizmo"], ["brand"], ["red"]], "coalesce(p0 + p1 + CASE WHEN p4 IS NULL THEN p2 + p3 END, p0 + p1, CASE WHEN p4 IS NULL THEN p2 + p3 END)"))
+def fts_operators(spark, d):
+    return _scores(spark, d, "red gear OR gizmo AND brand NOT red")
+
+
 @query(_bm25([["brand", "4"]]))
 def fts_phrase(spark, d):
     return _scores(spark, d, "Brand#4")

@@ -30,7 +30,7 @@ def nodes(spark):
     return spark.createDataFrame(ROWS, SCHEMA)
 
 
-@pytest.mark.parametrize("query", ["test_func", "ns::test_func", "alpha", "creme", "src", "alpha beta", "caller func", "func() test", "cpp", "zzz"])
+@pytest.mark.parametrize("query", ["test_func", "ns::test_func", "alpha", "creme", "src", "alpha beta", "caller func", "func() test", "cpp", "zzz", "alpha OR func", "func NOT caller", "alpha AND beta OR creme", "src NOT alpha beta OR caller_func", "src NOT alpha NOT func", "cpp AND src NOT zzz", "or not and", "___ alpha", "___ OR alpha", "alpha AND ___", "src NOT ___", "alpha OR (beta)"])
 def test_scores(nodes, query):
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE t USING fts5(name, qualified_name, signature, docstring, file_path)")
@@ -41,6 +41,13 @@ def test_scores(nodes, query):
     assert {r.id: round(r.score, 5) for r in fts.bm25(fts.postings(nodes), query).collect()} == pytest.approx(want, abs=2e-5)
 
 
+def test_operators_bind():
+    is_ = lambda n: ("IS", n)
+    assert fts.parse_query("a b OR c AND d NOT e f") == ([[x] for x in "abcdef"], ("OR", ("AND", is_(0), is_(1)), ("AND", is_(2), ("NOT", is_(3), ("AND", is_(4), is_(5))))))
+    assert all(fts.parse_query(q) == ([], None) for q in ("AND", "a OR", "NOT a", "a AND OR b", "", " _ "))
+    assert fts.parse_query("a NOT(b)") == ([["a", "not", "b"]], ("IS", 0))
+
+
 def test_search_ranks_kinds(nodes):
     assert [r.id for r in fts.search(nodes, "alpha").collect()] == [5, 4]
     assert fts.search(nodes, "").collect() == [] and fts.search(nodes, "::").collect() == []
