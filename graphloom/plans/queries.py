@@ -15,8 +15,8 @@ from graphloom.schema import CALLS, edge_kind_name, node_kind_name
 from graphloom.sources import diff, tables
 from graphloom.sources.tables import EVENT_HUNKS, FILE_VERSIONS, PART_EDGES, PART_NODES, PART_PAIRS, USER_EDGES, USER_PAIRS, event_hunks, file_versions, part_edges, part_nodes, part_pairs, user_edges, user_pairs
 
-#: Nodes with callers, and with callees, at every size of the tables.
-START, START_OUT = 7, 180
+#: Nodes with callers over three steps, and with callees, at every size of the tables.
+START, START_OUT = 40, 180
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
