@@ -12,8 +12,8 @@ A large family of near copies is not paired out. First each group is verified
 against one group of the lists of its least elements, and each member against its
 group; the links found give components. Then the lists of whole prefixes are
 read, and only those are compared that still hold more than one component, each
-distinct list once. That is done in chunks, which return rows and spanning
-forests, never pairs. So no link between components is lost, and links inside
+distinct list once. That is done in chunks, which return rows and for each
+component one link at most, never pairs. So no link between components is lost, and links inside
 one, which change nothing, are not enumerated.
 
 Nothing here errs by chance or by a limit. A bitmap holds for each of its bits the
@@ -279,8 +279,25 @@ def texts_of(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> tuple[DataF
     return docs.join(side, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y"))).select("uid", "text"), few
 
 
+def joined(c: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the components ``c`` that the pairs of rows ``(i, j)`` connect to a lesser one, and the least that they connect it to."""
+    names, at = np.unique(c, return_inverse=True)
+    met = np.zeros((len(names), len(names)), bool)
+    met[at[i], at[j]] = met[at[j], at[i]] = True
+    new, least = np.ones(len(names), bool), np.arange(len(names))
+    for start in range(len(names)):
+        ahead = [start] if new[start] else []
+        new[start] = False
+        while ahead:
+            found = np.flatnonzero(met[ahead.pop()] & new)
+            new[found], least[found] = False, start
+            ahead += found.tolist()
+    use = least != np.arange(len(names))
+    return names[use], names[least[use]]
+
+
 def link_lists(rows: DataFrame, sets: DataFrame, docs: DataFrame, length: int, similarity: tuple[int, int], chunk: int = CHUNK) -> DataFrame:
-    """Links ``(a, b)`` that connect what is similar in each list of ``rows(h, uid, c)``: whole sets, spanning forests."""
+    """Links ``(a, b)`` between the components ``c`` that are similar in each list of ``rows(h, uid, c)``: whole sets, one link for each component and chunk at most."""
     p, q = similarity
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +325,8 @@ def link_lists(rows: DataFrame, sets: DataFrame, docs: DataFrame, length: int, s
                 size = at[a + 1 : b + 1] - at[a:b]
                 shared = shared_counts([flat[at[k] : at[k + 1]] for k in range(a, b)])
                 i, j = np.nonzero((shared * q >= (size[:, None] + size - shared) * p) & (shared > 0) & (c[a:b, None] < c[a:b]))
-                # one link for each two components that meet
-                _, first = np.unique(np.stack([c[a + i], c[a + j]]), axis=1, return_index=True)
-                left.append(uid[a + i[first]])
-                right.append(uid[a + j[first]])
+                for out, found in zip((left, right), joined(c[a:b], i, j), strict=True):
+                    out.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     return narrow(arrow(gathered(dealt_lists(rows, "uid", chunk).join(whole, F.col("uid") == F.col("k")), ["uid", "c", "els"]), compare, "a long, b long"), "late-links")

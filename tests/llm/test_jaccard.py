@@ -143,3 +143,19 @@ def test_left_list_of_the_least_shared_element(spark):
     rows += [(200 + i, " ".join(line + words(145))) for i in range(14)]
     rows += [(300, " ".join(base)), (301, " ".join([*base[:-1], "new"])), (302, " ".join([*base[:-2], "new", "end"]))]
     check(spark, rows, stars=2, chunk=4)
+
+
+def test_links_of_a_list_are_a_forest(spark):
+    """A list of near copies that are all components of their own returns links in proportion to them, not a link for each two."""
+    words = [f"w{x}" for x in range(60)]
+    rows = [(k, " ".join([*words, f"a{k}"])) for k in range(90)] + [(100 + k, " ".join([*words[::-1], f"b{k}"])) for k in range(30)] + [(200, "one two three four five")]
+    base = jaccard.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    sets = base.selectExpr("doc_id AS uid", "__a AS a", "__b AS b")
+    lists = sets.selectExpr("7L AS h", "uid", "uid AS c")
+    links = [(r.a, r.b) for r in jaccard.link_lists(lists, sets, base.select("__a", "__b", "text"), jaccard.WORDS, jaccard.SIMILARITY).collect()]
+    assert len(links) == 89 + 29
+    label = {k: k for k, _ in rows}
+    for a, b in links:
+        old, new = label[a], label[b]
+        label = {k: new if v == old else v for k, v in label.items()}
+    assert sorted(sum(v == x for v in label.values()) for x in set(label.values())) == [1, 30, 90]
