@@ -159,3 +159,13 @@ def test_links_of_a_list_are_a_forest(spark):
         old, new = label[a], label[b]
         label = {k: new if v == old else v for k, v in label.items()}
     assert sorted(sum(v == x for v in label.values()) for x in set(label.values())) == [1, 30, 90]
+
+
+def test_links_of_a_family_that_the_first_pass_leaves_apart(spark, monkeypatch):
+    """As the pipeline runs it: components get links in proportion to the rows, and one row of the family stays."""
+    words = [f"w{x}" for x in range(60)]
+    df = spark.createDataFrame([(k, " ".join([*words, f"a{k}"])) for k in range(90)], "doc_id long, text string")
+    real, counts = jaccard.components, []
+    monkeypatch.setattr(jaccard, "components", lambda links: (counts.append(links.distinct().count()), real(links))[1])
+    assert [r.doc_id for r in jaccard.representatives(df, stars=0).collect()] == [0]
+    assert len(counts) == 2 and max(counts) < 2 * 90
