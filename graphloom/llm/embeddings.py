@@ -26,9 +26,10 @@ from graphloom.llm._lattice import nearest, shortest
 COSINE = 0.9
 #: Rows of a bucket compared in one go; a larger bucket is dealt into pairs of chunks.
 CHUNK = 2048
-#: (vectors up to, blocks, width of a cell, tables, neighbouring cells probed). Two unit vectors with a
+#: (unused, blocks, width of a cell, tables, neighbouring cells probed). Two unit vectors with a
 #: cosine of 0.9 meet in one table with probability 0.64, 0.45, 0.41; at least 0.996 of such pairs meet in some table.
-PLANS = ((200_000, 1, 0.25, 6, 2), (50_000_000, 2, 0.3, 10, 4), (1 << 62, 3, 0.4, 12, 4))
+#: Tables of every size take the first: whether a pair is found follows from its two vectors alone. The others are taken where a caller names them.
+PLANS = ((0, 1, 0.25, 6, 2), (0, 2, 0.3, 10, 4), (0, 3, 0.4, 12, 4))
 #: Dimensions above which only the columns in use are drawn for a random map.
 WIDE = 1024
 
@@ -119,8 +120,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     link with nothing, and vectors only with those of their length. Equal vectors are one
     vector with a weight; a repeated row links with its copies. ``component_id``
     is the least key that links reach, the row's own included; a row with a null
-    key counts in links and takes the component of the others it reaches. Columns
-    named like an added one are replaced.
+    key counts in links and takes the component of the others it reaches. The
+    plan does not follow from the table. Columns named like an added one are
+    replaced.
     """
     data = without(df, "n_links", "component_id", "kept")
     v = F.col(vector)
@@ -128,8 +130,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     good = F.coalesce(good, F.lit(False))
     single = data.where(good).groupBy(v.alias("vector")).agg(F.min(key).alias("least"), F.count("*").alias("weight"))
     single = stage(single.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    n = single.count()
-    _, blocks, width, tables, probes = plan or next(p for p in PLANS if n <= p[0])
+    _, blocks, width, tables, probes = plan or PLANS[0]
     each = 1 + probes
     # Single precision stays single on its way; all sums are in double precision.
     kind = single.schema["vector"].dataType.simpleString()

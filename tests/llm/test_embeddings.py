@@ -72,6 +72,18 @@ def test_registered_plans(spark, plan):
     assert all_ > 200 and 0.98 * all_ <= sum(r.n_links for r in got) <= all_
 
 
+def test_links_do_not_follow_from_the_size_of_the_table(spark, monkeypatch):
+    """Rows that link with none of the others change no link: no plan is taken by the number of vectors."""
+    monkeypatch.setattr(embeddings, "PLANS", ((20, 1, 0.25, 6, 2), (1 << 62, 1, 0.02, 1, 0)))
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((10, 64))
+    rows = [(k, (base[k % 10] + 0.2 * rng.standard_normal(64)).tolist()) for k in range(20)]
+    more = [(100 + k, rng.standard_normal(65).tolist()) for k in range(10)]
+    got = [embeddings.near_duplicates(spark.createDataFrame(r, "vec_id long, embedding array<double>")).where("vec_id < 100").collect() for r in (rows, rows + more)]
+    assert sorted(got[0]) == sorted(got[1])
+    assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got[1]) == brute(rows)
+
+
 def test_lengths(spark):
     """Vectors of every length link with those of their length."""
     rng = np.random.default_rng(3)
