@@ -13,7 +13,7 @@ from graphloom.plans.queries import ORACLE, START_OUT, E, G, N, query
 from graphloom.runtime import shared_dir, stage
 from graphloom.schema import CALLS, edge_kind_name, node_kind_name
 from graphloom.sources import tables
-from graphloom.sources.tables import FILE_VERSIONS, USER_PAIRS, file_versions, part_edges, part_nodes
+from graphloom.sources.tables import FILE_VERSIONS, USER_PAIRS, file_versions, part_edges, part_nodes, user_pairs
 from graphloom.tools import node_dict
 
 #: The file that the queries about one file look at.
@@ -212,8 +212,10 @@ ROOT, DEPTH = 5, 2
 
 
 def tree_edges(spark: SparkSession, d: str) -> DataFrame:
-    tables.table(spark, d, "events")
-    return spark.sql(TREE_EDGES)
+    """The rows of TREE_EDGES; the pairs are made once."""
+    pairs = stage(user_pairs(spark, d), "user-pairs")
+    once = pairs.selectExpr("id * 4 AS id", "source_id", "target_id", "CASE WHEN target_id % 4 = 0 THEN 6 ELSE 1 END AS kind")
+    return once.unionByName(pairs.where("source_id % 3 = 0").selectExpr("id * 4 + 1 AS id", "source_id", "target_id", "1 AS kind"))
 
 
 def _tree(a: str, b: str, kinds: tuple[int, ...]) -> str:

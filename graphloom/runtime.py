@@ -41,4 +41,20 @@ def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     before = F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
     shifted = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
     place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(shifted, part == F.col("__part")).withColumn(name, place).drop("__id", "__part", "__before")
+    # one row for each range, so no more than there are shuffle partitions
+    return ranged.join(F.broadcast(shifted), part == F.col("__part")).withColumn(name, place).drop("__id", "__part", "__before")
+
+
+def following(df: DataFrame, value: str, *order: str, name: str = "following", run: int = 1 << 16) -> DataFrame:
+    """``df`` with ``value`` of the row after each in the order of the columns, null for the last: LEAD without bringing all rows to one task.
+
+    Rows are numbered and cut into runs; each run also gets the first row of the run after it.
+    """
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    own = F.floor(F.col("__at") / run)
+    runs = F.when((F.col("__at") % run == 0) & (F.col("__at") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = numbered(df, *order, name="__at").withColumn("__run", F.explode(runs))
+    led = dealt.withColumn(name, F.lead(value).over(W.partitionBy("__run").orderBy("__at")))
+    return led.where(F.col("__run") == own).drop("__at", "__run")

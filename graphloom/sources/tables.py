@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.runtime import following
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 PART_NODES = """
@@ -81,9 +83,15 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PART_EDGES)
 
 
+def _user_steps(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    """The steps of USER_EDGES and USER_PAIRS: their window has no partitions, so the next user is found over runs of the order instead."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "user_id", "event_type")
+    steps = following(events, "user_id", "ts", "event_id", name="t").withColumnRenamed("user_id", "s").where(where)
+    return steps.selectExpr("s * 10000000 + t AS id", "s AS source_id", "t AS target_id", "1 AS kind").distinct()
+
+
 def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events")
-    return spark.sql(USER_EDGES)
+    return _user_steps(spark, sf_dir, "event_type = 'error' AND t IS NOT NULL AND s <> t AND s % 5 = t % 5")
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +100,7 @@ def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events")
-    return spark.sql(USER_PAIRS)
+    return _user_steps(spark, sf_dir, "t IS NOT NULL AND s <> t")
 
 
 def event_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
