@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import scc
 from graphloom.plans import store_queries
-from graphloom.runtime import following
+from graphloom.runtime import following, stage
 from graphloom.sources import tables
 
 
@@ -40,3 +41,14 @@ def test_tree_edges_make_the_pairs_once(spark, small):
     tables.table(spark, small, "events")
     want = spark.sql(store_queries.TREE_EDGES)
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.where(F.col("kind") == 6).count() > 0
+
+
+def test_a_chain_of_components_takes_few_rounds(spark, monkeypatch):
+    """Thirty rings, each leading to the next: colours of joins took rounds for each ring and started over for each."""
+    rings = [[r * 4 + i for i in range(4)] for r in range(30)]
+    rows = [(ring[i], ring[(i + 1) % 4]) for ring in rings for i in range(4)] + [(a[0], b[0]) for a, b in zip(rings, rings[1:], strict=False)]
+    staged = []
+    monkeypatch.setattr(scc, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    got = scc.strong_components(spark.createDataFrame(rows, "source_id long, target_id long"), 40)
+    assert {r.id: r.scc for r in got.collect()} == {v: ring[0] for ring in rings for v in ring}
+    assert len(staged) < 20 and "colour" not in staged
