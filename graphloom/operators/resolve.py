@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import dirname, namespace
 from graphloom.operators.lookup import named
+from graphloom.runtime import stage
 
 CANDIDATES = 10
+#: Distinct names, and candidates of them, up to which the table is sent to every task. Nodes never are.
+FEW_NAMES, FEW_CANDIDATES = 20_000, 200_000
 #: Points of a candidate in the same file, else folder, and in the same namespace (fixed values).
 SAME_FILE, SAME_FOLDER, SAME_NAMESPACE = 10, 5, 3
 
@@ -23,12 +26,15 @@ def candidates(names: DataFrame, nodes: DataFrame, limit: int = CANDIDATES) -> D
     spellings, found by a three-letter piece that both must hold.
     """
     pool = named(nodes).select("id", "name", F.coalesce("qualified_name", F.lit("")).alias("qualified_name"), F.when(F.coalesce("signature", F.lit("")) != "", 0).otherwise(1).alias("unsigned"), F.when(F.col("file_path").endswith(".cpp") | F.col("file_path").endswith(".cc"), 0).otherwise(1).alias("header"))
-    names = names.select("ref_name").where("ref_name <> ''").distinct()
-    exact = names.join(pool, F.col("ref_name") == F.col("name")).select("ref_name", "id", F.lit(0).alias("tier"), "unsigned", "header")
-    whole = names.join(pool, F.col("ref_name") == F.col("qualified_name")).select("ref_name", "id", F.lit(1).alias("tier"), "unsigned", "header")
+    names = stage(names.select("ref_name").where("ref_name <> ''").distinct(), "names")
+    few = names.count() <= FEW_NAMES
+    sent = F.broadcast if few else lambda df: df
+    large = (lambda df: df) if few else lambda df: df.hint("merge")
+    exact = sent(names).join(large(pool), F.col("ref_name") == F.col("name")).select("ref_name", "id", F.lit(0).alias("tier"), "unsigned", "header")
+    whole = sent(names).join(large(pool), F.col("ref_name") == F.col("qualified_name")).select("ref_name", "id", F.lit(1).alias("tier"), "unsigned", "header")
     parts = F.split(F.lower("qualified_name"), "::")
     ends = pool.withColumn("parts", parts).where(F.size("parts") > 1).withColumn("k", F.explode(F.sequence(F.lit(2), F.size("parts")))).select("id", "unsigned", "header", F.array_join(F.slice("parts", F.col("k"), F.size("parts")), "::").alias("ending"))
-    suffix = names.join(ends, F.lower("ref_name") == F.col("ending")).select("ref_name", "id", F.lit(2).alias("tier"), "unsigned", "header")
+    suffix = sent(names).join(large(ends), F.lower("ref_name") == F.col("ending")).select("ref_name", "id", F.lit(2).alias("tier"), "unsigned", "header")
     strict = exact.unionByName(whole).unionByName(suffix)
     filled = strict.groupBy("ref_name").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= limit)
     short = names.join(filled.select("ref_name"), "ref_name", "left_anti")
@@ -37,11 +43,12 @@ def candidates(names: DataFrame, nodes: DataFrame, limit: int = CANDIDATES) -> D
     pieces = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
     have = texts.select("text", F.explode(F.array_distinct(pieces(F.col("text")))).alias("piece"))
     long_ = short.where(F.length("ref_name") >= 3).select("ref_name", F.substring(F.lower("ref_name"), 1, 3).alias("piece"))
-    inside = long_.join(have, "piece").where(F.contains("text", F.lower("ref_name"))).select("ref_name", "text")
+    inside = sent(long_).join(large(have), "piece").where(F.contains("text", F.lower("ref_name"))).select("ref_name", "text")
     # Names of one or two letters are pieces themselves: every spelling that holds the letters.
     letters = texts.select("text", F.explode(F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(1))), F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(2)))))).alias("piece")).where("text <> ''")
-    tiny = short.where(F.length("ref_name") < 3).select("ref_name", F.lower("ref_name").alias("piece")).join(letters, "piece").select("ref_name", "text")
-    loose = inside.unionByName(tiny).distinct().join(spelt, "text").select("ref_name", "id", F.lit(3).alias("tier"), F.lit(0).alias("unsigned"), F.lit(0).alias("header"))
+    tiny = short.where(F.length("ref_name") < 3).select("ref_name", F.lower("ref_name").alias("piece"))
+    tiny = sent(tiny).join(large(letters), "piece").select("ref_name", "text")
+    loose = inside.unionByName(tiny).distinct().join(spelt.hint("merge"), "text").select("ref_name", "id", F.lit(3).alias("tier"), F.lit(0).alias("unsigned"), F.lit(0).alias("header"))
     best = strict.unionByName(loose).groupBy("ref_name", "id").agg(F.min(F.struct("tier", "unsigned", "header")).alias("k"))
     # the first ``limit`` of each name; the sort is within a name's candidates
     order = W.partitionBy("ref_name").orderBy("k.tier", "k.unsigned", "k.header", "id")
@@ -54,11 +61,15 @@ def resolve(refs: DataFrame, nodes: DataFrame, limit: int = CANDIDATES, strict_t
     The candidate with most points wins, the earlier of equals. ``strict_tier``
     puts the tier of the match above the points.
     """
-    found = candidates(refs, nodes, limit).select(F.col("ref_name").alias("c_name"), F.col("id").alias("target_id"), "rank", "tier")
+    refs = stage(refs, "refs")
     place = nodes.select(F.col("id").alias("n_id"), F.col("file_path").alias("path"), namespace(F.coalesce("qualified_name", F.lit(""))).alias("ns"))
     source = place.select(F.col("n_id").alias("s_id"), F.col("path").alias("s_path"), F.col("ns").alias("s_ns"))
     target = place.select(F.col("n_id").alias("t_id"), F.col("path").alias("t_path"), F.col("ns").alias("t_ns"))
-    rows = refs.join(source, F.col("source_node_id") == F.col("s_id"), "left").join(found, F.col("ref_name") == F.col("c_name"), "left").join(target, F.col("target_id") == F.col("t_id"), "left")
+    found = candidates(refs, nodes, limit).select(F.col("ref_name").alias("c_name"), F.col("id").alias("target_id"), "rank", "tier")
+    # candidates get their places before each reference takes a copy of them
+    found = stage(found.join(target.hint("merge"), F.col("target_id") == F.col("t_id"), "left"), "candidates")
+    sent = F.broadcast if found.count() <= FEW_CANDIDATES else lambda df: df.hint("merge")
+    rows = refs.join(source.hint("merge"), F.col("source_node_id") == F.col("s_id"), "left").join(sent(found), F.col("ref_name") == F.col("c_name"), "left")
     near = F.when(F.col("s_path") == F.col("t_path"), SAME_FILE).when(dirname(F.col("s_path")) == dirname(F.col("t_path")), SAME_FOLDER).otherwise(0)
     score = near + F.when(F.col("s_ns") == F.col("t_ns"), SAME_NAMESPACE).otherwise(0)
     scored = rows.withColumn("score", F.when(F.col("target_id").isNotNull(), score))

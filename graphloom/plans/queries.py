@@ -315,7 +315,7 @@ def _resolved(spark, d) -> DataFrame:
     n, e = part_nodes(spark, d), part_edges(spark, d)
     t = n.select(F.col("id").alias("t_id"), "name")
     name = F.when(F.col("id") % 11 == 0, "no such name").when(F.col("id") % 5 == 0, F.split_part("name", F.lit(" "), F.lit(2))).otherwise(F.col("name"))
-    refs = e.where(F.col("kind") == CALLS).join(t, F.col("target_id") == F.col("t_id")).select("id", F.col("source_id").alias("source_node_id"), name.alias("ref_name"))
+    refs = e.where(F.col("kind") == CALLS).join(t.hint("merge"), F.col("target_id") == F.col("t_id")).select("id", F.col("source_id").alias("source_node_id"), name.alias("ref_name"))
     return resolve.resolve(refs, n)
 
 
