@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import like_escape
 from graphloom.operators.scc import cycles, strong_components
 from graphloom.operators.traverse import all_distances, oriented
+from graphloom.runtime import stage
 from graphloom.schema import CALLS, CONTAINS, FUNCTION, METHOD
 
 # Names and paths that are never reported as unused.
@@ -43,7 +44,10 @@ def inner_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, name, in_degree, out_degree)``, parallel edges counted."""
-    calls = inner_calls(nodes, edges)
+    return _degrees(nodes, inner_calls(nodes, edges))
+
+
+def _degrees(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     ends = calls.select(F.col("target_id").alias("k"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(calls.select(F.col("source_id").alias("k"), F.lit(0).alias("i"), F.lit(1).alias("o")))
     sums = ends.groupBy("k").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     return nodes.join(sums, F.col("id") == F.col("k"), "left").select("id", "name", F.coalesce("i", F.lit(0)).cast("long").alias("in_degree"), F.coalesce("o", F.lit(0)).cast("long").alias("out_degree"))
@@ -55,16 +59,20 @@ def top_degrees(deg: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(entry, depth)``: the farthest call distance from each node that is called by none or named main."""
-    entries = degrees(nodes, edges).where("in_degree = 0 or name = 'main'").select(F.col("id").alias("source"))
-    reach = all_distances(oriented(inner_calls(nodes, edges)), entries)
+    return _depths(nodes, stage(inner_calls(nodes, edges), "inner-calls"))
+
+
+def _depths(nodes: DataFrame, calls: DataFrame) -> DataFrame:
+    entries = _degrees(nodes, calls).where("in_degree = 0 or name = 'main'").select(F.col("id").alias("source"))
+    reach = all_distances(oriented(calls), entries)
     return reach.groupBy(F.col("source").alias("entry")).agg(F.max("depth").alias("depth"))
 
 
 def graph_metrics(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row: functions, calls, cycles, greatest and mean call depth (over entries that call something)."""
-    own = functions_of(nodes, files)
-    calls = inner_calls(own, edges)
-    deep = depths(own, edges).agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_depth"), F.coalesce(F.round(F.avg("depth"), 6), F.lit(0.0)).alias("avg_depth"))
+    own = stage(functions_of(nodes, files).select("id", "name"), "functions")
+    calls = stage(inner_calls(own, edges).select("id", "source_id", "target_id", "kind"), "inner-calls")
+    deep = _depths(own, calls).agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_depth"), F.coalesce(F.round(F.avg("depth"), 6), F.lit(0.0)).alias("avg_depth"))
     rings = cycles(strong_components(calls)).agg(F.count("*").alias("n_cycles"))
     return own.agg(F.count("*").alias("n_nodes")).crossJoin(calls.agg(F.count("*").alias("n_edges"))).crossJoin(rings).crossJoin(deep)
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from graphloom.runtime import stage
 from graphloom.schema import CALLS, REFERENCES
 
+#: Rows of a level that are sent to every task.
+FEW_ROWS = 300_000
+
 
 def oriented(edges: DataFrame, kinds: Sequence[int] = (CALLS,), reverse: bool = False) -> DataFrame:
     """``(edge_id, from_id, to_id, turn)`` of edges of the kinds; ``turn`` is the kind's place in the order of expansion."""
@@ -85,15 +88,26 @@ def distances(steps: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame
 
 
 def all_distances(steps: DataFrame, sources: DataFrame) -> DataFrame:
-    """``(source, node_id, depth)`` of every reachable node, the start left out, level by level to the end."""
+    """``(source, node_id, depth)`` of every reachable node, the start left out, level by level to the end.
+
+    A source without a step is left at once. A level of few rows is sent to what
+    was found before, so that what was found is not dealt again for each level.
+    """
     pairs = stage(steps.select("from_id", "to_id").distinct(), "pairs")
-    frontier = stage(sources.select("source").distinct().select("source", F.col("source").alias("node_id"), F.lit(0).alias("depth")), "distance")
+    starts = sources.select("source").distinct().join(pairs.select(F.col("from_id").alias("k")).distinct(), F.col("source") == F.col("k"), "left_semi")
+    frontier = stage(starts.select("source", F.col("source").alias("node_id"), F.lit(0).alias("depth")), "distance")
     found, depth = frontier, 0
     while frontier.limit(1).count():
         depth += 1
+        step = stage(frontier.join(pairs, F.col("node_id") == F.col("from_id")).select("source", F.col("to_id").alias("node_id")).distinct(), "step")
+        same = (F.col("source") == F.col("s_")) & (F.col("node_id") == F.col("v_"))
         seen = found.select(F.col("source").alias("s_"), F.col("node_id").alias("v_"))
-        step = frontier.join(pairs, F.col("node_id") == F.col("from_id")).select("source", F.col("to_id").alias("node_id")).distinct()
-        frontier = stage(step.join(seen, (F.col("source") == F.col("s_")) & (F.col("node_id") == F.col("v_")), "left_anti").withColumn("depth", F.lit(depth)), "distance")
+        if step.count() <= FEW_ROWS:  # by each column alone: a single long takes little room, and the pairs are compared below
+            for mine, column in (("s_", "source"), ("v_", "node_id")):
+                few = step.select(F.col(column).alias("k_")).distinct()
+                seen = seen.join(F.broadcast(few), F.col(mine) == F.col("k_"), "left_semi")
+            seen = seen.hint("merge")
+        frontier = stage(step.join(seen, same, "left_anti").withColumn("depth", F.lit(depth)), "distance")
         found = found.unionByName(frontier)
     return found.where("depth > 0")
 

@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import scc
+from graphloom.operators import metrics, scc
 from graphloom.plans import store_queries
+from graphloom.plans.queries import QUERIES
 from graphloom.runtime import following, stage
 from graphloom.sources import tables
 
@@ -52,3 +53,13 @@ def test_a_chain_of_components_takes_few_rounds(spark, monkeypatch):
     got = scc.strong_components(spark.createDataFrame(rows, "source_id long, target_id long"), 40)
     assert {r.id: r.scc for r in got.collect()} == {v: ring[0] for ring in rings for v in ring}
     assert len(staged) < 20 and "colour" not in staged
+
+
+def test_metrics_make_the_calls_once(spark, small, monkeypatch):
+    """Components, degrees, distances and the count of calls read one table of calls; the window over lineitem runs for it alone."""
+    given = []
+    for name in ("strong_components", "_depths"):
+        real = getattr(metrics, name)
+        monkeypatch.setattr(metrics, name, lambda *a, real=real: given.append(plan_of(a[-1])) or real(*a))
+    QUERIES["graph_metrics"](spark, small)
+    assert len(given) == 2 and not any("lead(" in plan for plan in given)
