@@ -20,9 +20,14 @@ FIRST_KINDS, SECOND_KINDS = (1, 2, 3, 4, 5, 9), (7, 8, 6, 12)
 
 
 def postings(rows: DataFrame, fields: tuple[str, ...] = FIELDS, id_: str = "id") -> DataFrame:
-    """``(id, field, pos, token)`` of each token."""
+    """``(id, field, pos, token)`` of each token.
+
+    Rows are dealt by id before their tokens are made: a file of few bytes may hold very many short rows, and one task would
+    make the tokens of them all. Counts by token and id need no further exchange.
+    """
+    rows = rows.select(F.col(id_).alias("id"), *fields).repartition("id")
     each = F.array(*[F.struct(F.lit(i).alias("field"), search_tokens(F.col(f)).alias("tokens")) for i, f in enumerate(fields)])
-    flat = rows.select(F.col(id_).alias("id"), F.explode(each).alias("f"))
+    flat = rows.select("id", F.explode(each).alias("f"))
     return flat.select("id", F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("pos", "token"))
 
 

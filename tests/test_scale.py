@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import metrics, scc
+from graphloom.operators import fts, metrics, scc
 from graphloom.plans import store_queries
 from graphloom.plans.queries import QUERIES
 from graphloom.runtime import following, stage
@@ -63,3 +63,8 @@ def test_metrics_make_the_calls_once(spark, small, monkeypatch):
         monkeypatch.setattr(metrics, name, lambda *a, real=real: given.append(plan_of(a[-1])) or real(*a))
     QUERIES["graph_metrics"](spark, small)
     assert len(given) == 2 and not any("lead(" in plan for plan in given)
+
+
+def test_rows_are_dealt_before_their_tokens_are_made(spark, small):
+    plan = plan_of(fts.postings(tables.part_nodes(spark, small)))
+    assert re.search(r"Generate.*\n(.*\n)*?.*RepartitionByExpression \[id", plan)
