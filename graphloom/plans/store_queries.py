@@ -23,15 +23,17 @@ PATH = "./SMALL/Brand#4.cpp"
 # -- changes of the store -----------------------------------------------------------------------------------
 
 
-def _graph(spark: SparkSession, d: str) -> store.Graph:
-    """Nodes, edges and files of the parts, and a reference for each call."""
+def _graph(spark: SparkSession, d: str, staged: bool = False) -> store.Graph:
+    """Nodes, edges and files of the parts, and a reference for each call; ``staged`` for a graph that is read more than once."""
     n, e = part_nodes(spark, d), part_edges(spark, d)
+    if staged:
+        n, e = stage(n.repartition("id"), "nodes"), stage(e, "edges")
     names = [f.split() for f in schema.NODES.split(", ")]
     nodes = n.select(*[(F.col(c) if c in n.columns else F.lit(False if t == "boolean" else 0 if t == "int" else "")).cast(t).alias(c) for c, t in names])
     edges = e.select("id", "source_id", "target_id", "kind", F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit("").alias("metadata"))
     files = nodes.where("kind = 0").select("id", F.col("file_path").alias("path"), "language", F.lit(1).cast("long").alias("mtime"), F.lit(2).cast("long").alias("size"))
     t = nodes.select(F.col("id").alias("t_"), F.col("name").alias("ref_name"))
-    refs = edges.where(F.col("kind") == CALLS).join(t, F.col("target_id") == F.col("t_")).select("id", F.col("source_id").alias("source_node_id"), "ref_name", F.lit("call").alias("ref_kind"), F.lit(0).alias("line"), F.lit(0).alias("col"))
+    refs = edges.where(F.col("kind") == CALLS).join(t.hint("merge"), F.col("target_id") == F.col("t_")).select("id", F.col("source_id").alias("source_node_id"), "ref_name", F.lit("call").alias("ref_kind"), F.lit(0).alias("line"), F.lit(0).alias("col"))
     return store.Graph(nodes, edges, files, refs)
 
 
@@ -82,8 +84,8 @@ def update_file_time(spark, d):
     return store.update_mtime(old, old.agg(F.min("path")).first()[0], 7).select("path", "mtime")
 
 
-def _dropped(spark, d) -> store.Graph:
-    return store.drop_files(_graph(spark, d), spark.createDataFrame([(PATH,)], "path string"))
+def _dropped(spark, d, graph: store.Graph | None = None) -> store.Graph:
+    return store.drop_files(graph or _graph(spark, d), spark.createDataFrame([(PATH,)], "path string"))
 
 
 @query(f"WITH {N} SELECT id, name, file_path FROM n WHERE file_path <> '{PATH}'")
@@ -117,8 +119,10 @@ def file_by_path(spark, d):
 def _stored(spark: SparkSession, d: str) -> store.Store:
     """A store with two snapshots: the graph without a file, then the graph."""
     kept = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    kept.save(_dropped(spark, d))
-    kept.save(_graph(spark, d))
+    graph = _graph(spark, d, staged=True)
+    graph.refs = stage(graph.refs, "refs")
+    kept.save(_dropped(spark, d, graph))
+    kept.save(graph)
     return kept
 
 
